@@ -18,7 +18,7 @@ from collections import defaultdict
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomtrace.llm.tokens import END_ID, byte_column, encoder, slices
+from loomtrace.llm.tokens import END_ID, encoder, slices
 from loomtrace.runtime import materialise, ship_package
 
 CAPACITY = 4096
@@ -37,23 +37,23 @@ def _piece_partitions(tokenizer: str, capacity: int, end_id: int):
         from pyspark import TaskContext
 
         shard, coder, seen = TaskContext.get().partitionId(), encoder(tokenizer), defaultdict(int)
-        tail = np.array([end_id], "<u4").tobytes()
-        width = 4 * capacity
         for whole in batches:
             for batch in slices(whole, "text"):
                 doc, piece, start, length, crc, rank = [], [], [], [], [], []
-                for doc_id, ids in zip(batch.column("doc_id").to_pylist(), coder.ids(byte_column(batch.column("text"))), strict=True):
-                    ids += tail
-                    for k, at in enumerate(range(0, len(ids), width)):
-                        part = ids[at : at + width]
-                        n = len(part) // 4
+                values, ends = coder.encode(batch.column("text"), end_id)
+                raw, head = memoryview(values.view(np.uint8)), 0
+                for doc_id, end in zip(batch.column("doc_id").to_pylist(), ends.tolist(), strict=True):
+                    for k, at in enumerate(range(head, end, capacity)):
+                        stop = min(at + capacity, end)
+                        n = stop - at
                         doc.append(doc_id)
                         piece.append(k)
-                        start.append(at // 4)
+                        start.append(at - head)
                         length.append(n)
-                        crc.append(zlib.crc32(part))
+                        crc.append(zlib.crc32(raw[4 * at : 4 * stop]))
                         rank.append(seen[n])
                         seen[n] += 1
+                    head = end
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([shard] * len(doc), pa.int32()), pa.array(doc, pa.int64()), pa.array(piece, pa.int32()), pa.array(start, pa.int64())]
                     + [pa.array(x, pa.int64()) for x in (length, crc, rank)],

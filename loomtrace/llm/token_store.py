@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomtrace.llm.tokens import END_ID, byte_column, encoder, slices
+from loomtrace.llm.tokens import END_ID, encoder, slices
 from loomtrace.runtime import scratch_path, ship_package
 
 ROW_GROUP_BYTES = 32 << 20
@@ -32,21 +32,18 @@ def _encode_partitions(tokenizer: str, end_id: int):
         from pyspark import TaskContext
 
         shard, start, coder = TaskContext.get().partitionId(), 0, encoder(tokenizer)
-        tail = np.array([end_id], "<u4").tobytes()
         for whole in batches:
             for batch in slices(whole, "text"):
-                lists = [ids + tail for ids in coder.ids(byte_column(batch.column("text")))]
-                n = np.fromiter((len(x) // 4 for x in lists), np.int64, len(lists))
-                ends = np.cumsum(n)
-                offsets = np.concatenate([[0], ends]).astype(np.int32)
-                values = np.frombuffer(b"".join(lists), "<i4")
+                values, ends = coder.encode(batch.column("text"), end_id)
+                offsets = np.concatenate([[0], ends])
+                n = np.diff(offsets)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.full(len(n), shard, np.int32)),
                         batch.column("doc_id").cast(pa.int64()),
                         pa.array(start + ends - n),
                         pa.array(n),
-                        pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)),
+                        pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values.view("<i4"))),
                     ],
                     names=["shard", "doc_id", "shard_start", "n_tokens", "tokens"],
                 )
