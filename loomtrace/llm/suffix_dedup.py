@@ -33,6 +33,7 @@ from loomtrace.runtime import discard, materialise, ship_package
 LENGTH = 50
 GRAM = 20
 BLOCK_BYTES = 4 << 20
+PIECE_BYTES = 64 << 10
 HOT_TEXTS = 20_000
 SORT_SYMBOLS = 1 << 20
 SLICES_PER_PARTITION = 4
@@ -156,35 +157,54 @@ def _gram_hashes(data, gram: int):
 
 
 def owner_runs(texts: list[bytes], length: int = LENGTH, gram: int = GRAM):
-    """Maximal runs of string starts with one owner: (text index, first start, last start, owner hash); starts are
-    positions in the joined texts."""
+    """Maximal runs of string starts with one owner: (text index, first start, last start, owner hash), in text
+    order; starts are positions within the text."""
+    import numpy as np
+
+    found, head, held = [], 0, 0
+    for k, text in enumerate(texts):  # pieces of about PIECE_BYTES, so that the arrays stay in the processor's cache
+        held += len(text)
+        if held >= PIECE_BYTES or k + 1 == len(texts):
+            found.append(_piece_runs(texts[head : k + 1], head, length, gram))
+            head, held = k + 1, 0
+    if not found:
+        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
+    return tuple(np.concatenate(parts) for parts in zip(*found, strict=True))
+
+
+def _piece_runs(texts: list[bytes], head: int, length: int, gram: int):
     import numpy as np
 
-    empty = (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
     data = np.frombuffer(b"".join(texts), np.uint8)
     if len(data) < length:
-        return empty
+        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
     hashes = _gram_hashes(data, gram)
     # The least of each window of grams: hash above, position below, so ties go to the leftmost.
-    low = (hashes >> np.uint64(30) << np.uint64(30)) | np.arange(len(hashes), dtype=np.uint64)
+    low = hashes >> np.uint64(30)
+    low <<= np.uint64(30)
+    low |= np.arange(len(hashes), dtype=np.uint64)
     width, have = length - gram + 1, 1
     while have < width:
         step = min(have, width - have)
         low = np.minimum(low[: len(low) - step], low[step:])
         have += step
-    owner = (low & np.uint64((1 << 30) - 1)).astype(np.int64)
-    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-    ends = np.cumsum(sizes)
-    text = np.repeat(np.arange(len(texts)), sizes)[: len(owner)]
-    at = np.arange(len(owner))
-    valid = at + length <= ends[text]
-    heads = valid.copy()
-    heads[1:] &= (owner[1:] != owner[:-1]) | (text[1:] != text[:-1]) | ~valid[:-1]
-    first = np.flatnonzero(heads)
-    stops = valid.copy()
-    stops[:-1] &= (owner[1:] != owner[:-1]) | (text[1:] != text[:-1]) | ~valid[1:]
-    last = np.flatnonzero(stops)
-    return text[first], first, last, hashes[owner[first]] >> np.uint64(64 - _HASH_BITS)
+    # Runs of equal owners; then the strings that would cross texts are cut off them.
+    heads = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
+    owner = (low[heads] & np.uint64((1 << 30) - 1)).astype(np.int64)
+    stops = np.append(heads[1:], len(low)) - 1
+    ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
+    starts = np.concatenate([[0], ends[:-1]])
+    # An owner lies in one text, but the run of strings around it can begin in the text before.
+    text = np.searchsorted(ends, owner, side="right")
+    first = np.maximum(heads, starts[text])
+    last = np.minimum(stops, ends[text] - length)
+    good = first <= last
+    text, first, last = text[good], first[good], last[good]
+    # A second mix: owners are least hashes, so their own upper bits are not evenly spread.
+    name = hashes[owner[good]]
+    name = (name ^ (name >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    name = (name ^ (name >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return text + head, first - starts[text], last - starts[text], name >> np.uint64(64 - _HASH_BITS)
 
 
 # --- blocks -----------------------------------------------------------------------------------------
@@ -424,9 +444,8 @@ def _contexts(texts, shared, hot, length: int, gram: int):
     text, first, last, owner = owner_runs(texts, length, gram)
     at = _members(owner, shared)
     chosen = np.flatnonzero(at >= 0)
-    starts = np.cumsum([0, *map(len, texts)])
-    base = starts[text[chosen]]
-    for t, a, b, h, is_hot in zip(text[chosen].tolist(), (first[chosen] - base).tolist(), (last[chosen] - base).tolist(), owner[chosen].tolist(), hot[at[chosen]].tolist(), strict=True):
+    columns = (text[chosen], first[chosen], last[chosen], owner[chosen], hot[at[chosen]])
+    for t, a, b, h, is_hot in zip(*(c.tolist() for c in columns), strict=True):
         if is_hot:
             for s in range(a, b + 1):
                 body = texts[t][s : s + length]
@@ -436,62 +455,66 @@ def _contexts(texts, shared, hot, length: int, gram: int):
 
 
 def _answer_blobs(length: int, symbols: int):
-    """For each block, its contexts' runs of least ids, where any text of the block has a greater one."""
+    """For each block, its contexts' least ids, where any text of the block has a greater one.
+
+    An owner with one distinct context needs no sorting: all its strings have the context's least id."""
 
     def run(batches):
         import numpy as np
 
         for s, held in _by_slice(batches):
-            owner, name, low, high, bodies, home = [], [], [], [], [], []
+            parts, bodies = [[] for _ in range(5)], []
             for k, (_, blob) in enumerate(held):
-                o, n, a, b, size, body = _unpack(blob, "<u8", "<u8", "<i8", "<i8", "<u2", bytes)
-                owner.append(o)
-                name.append(n)
-                low.append(a)
-                high.append(b)
-                home.append(np.full(len(o), k))
+                *numbers, size, body = _unpack(blob, "<u8", "<u8", "<i8", "<i8", "<u2", bytes)
+                for column, values in zip(parts, (*numbers, np.full(len(size), k)), strict=True):
+                    column.append(values)
                 ends = np.cumsum(size.astype(np.int64)).tolist()
-                bodies += [body[x:y] for x, y in zip([0, *ends[:-1]], ends, strict=True)]
-            owner, name, low, high, home = map(np.concatenate, (owner, name, low, high, home))
+                bodies += [body[x:y] for x, y in zip([0, *ends], ends, strict=False)]
+            owner, name, low, high, home = map(np.concatenate, parts)
+            order = np.lexsort((name, owner))
+            owner, name, low, high, home = owner[order], name[order], low[order], high[order], home[order]
+            # Distinct contexts (by owner and name) and their least ids; then owners with two or more of them.
+            new = np.ones(len(order), bool)
+            new[1:] = (name[1:] != name[:-1]) | (owner[1:] != owner[:-1])
+            heads = np.flatnonzero(new)
+            which = np.cumsum(new) - 1
+            least = np.minimum.reduceat(low, heads)
+            group = np.ones(len(heads), bool)
+            group[1:] = owner[heads][1:] != owner[heads][:-1]
+            group = np.cumsum(group) - 1
+            mixed = np.bincount(group)[group] > 1
+            plain = ~mixed[which] & (least[which] < high)
+            varied: dict[int, object] = {}
+            chosen, size, last = [], 0, -1
+
+            def solve():
+                values = least_ids([bodies[order[heads[d]]] for d in chosen], least[chosen], length)  # noqa: B023
+                ends = np.cumsum([len(bodies[order[heads[d]]]) - length + 1 for d in chosen]).tolist()  # noqa: B023
+                varied.update(zip(chosen, (values[a:b] for a, b in zip([0, *ends], ends, strict=False)), strict=True))  # noqa: B023
+
+            for d, g in zip(np.flatnonzero(mixed).tolist(), group[mixed].tolist(), strict=True):
+                if size >= symbols and g != last:
+                    solve()
+                    chosen, size = [], 0
+                chosen.append(d)
+                size += len(bodies[order[heads[d]]]) + 1
+                last = g
+            if chosen:
+                solve()
             answers: list[list] = [[] for _ in held]
-
-            def solve(rows, name=name, low=low, high=high, home=home, bodies=bodies, answers=answers):
-                distinct: dict[bytes, int] = {}
-                which = [distinct.setdefault(bodies[r], len(distinct)) for r in rows]
-                least = np.full(len(distinct), NO_ID, np.int64)
-                np.minimum.at(least, which, low[rows])
-                if len(distinct) == 1 and int(low[rows].min()) >= int(high[rows].max()):
-                    return
-                found = least_ids(list(distinct), least, length)
-                ends = np.cumsum([len(c) - length + 1 for c in distinct]).tolist()
-                for r, c in zip(rows, which, strict=True):
-                    own = found[ends[c] - (len(bodies[r]) - length + 1) : ends[c]]
-                    if int(own.min()) < int(high[r]):
-                        answers[int(home[r])].append((int(name[r]), own))
-
-            order = np.argsort(owner, kind="stable")
-            ranked = owner[order]
-            fresh = np.ones(len(order), bool)
-            fresh[1:] = ranked[1:] != ranked[:-1]
-            cuts = [*np.flatnonzero(fresh).tolist(), len(order)]
-            batch, size = [], 0
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                own = order[a:b].tolist()
-                batch += own
-                size += sum(len(bodies[r]) + 1 for r in own)
-                if size >= symbols:
-                    solve(batch)
-                    batch, size = [], 0
-            if batch:
-                solve(batch)
-            rows = []
-            for (block, _), found in zip(held, answers, strict=True):
-                if found:
-                    names = np.array([n for n, _ in found], "<u8")
-                    values = np.concatenate([v for _, v in found]).astype("<i8")
-                    rows.append((s, block, _pack(names, np.array([len(v) for _, v in found], "<u2"), values)))
-            if rows:
-                yield _rows(rows)
+            rows = np.flatnonzero(mixed[which])
+            for r, d, k, most in zip(name[rows].tolist(), which[rows].tolist(), home[rows].tolist(), high[rows].tolist(), strict=True):
+                if int(varied[d].min()) < most:
+                    answers[k].append((r, varied[d]))
+            out = []
+            for k, (block, _) in enumerate(held):
+                same = plain & (home == k)
+                if same.any() or answers[k]:
+                    values = np.concatenate([v for _, v in answers[k]]) if answers[k] else np.zeros(0, np.int64)
+                    names, sizes = np.array([n for n, _ in answers[k]], "<u8"), np.array([len(v) for _, v in answers[k]], "<u2")
+                    out.append((s, block, _pack(name[same], least[which[same]], names, sizes, values.astype("<i8"))))
+            if out:
+                yield _rows(out)
 
     return run
 
@@ -512,25 +535,35 @@ def _cut_blocks(length: int, gram: int, keep_text: bool):
                 keys, texts = _open_block(data)
                 answers: dict[int, object] = {}
                 for blob in blobs:
-                    names, sizes, values = _unpack(blob, "<u8", "<u2", "<i8")
+                    same, least, names, sizes, values = _unpack(blob, "<u8", "<i8", "<u8", "<u2", "<i8")
+                    answers.update(zip(same.tolist(), least.tolist(), strict=True))
                     ends = np.cumsum(sizes.astype(np.int64)).tolist()
-                    answers.update(zip(names.tolist(), (values[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)), strict=True))
-                marks: dict[int, object] = {}
+                    answers.update(zip(names.tolist(), (values[a:b] for a, b in zip([0, *ends], ends, strict=False)), strict=True))
+                ids = keys.tolist()
+                spans: dict[int, list] = {}
                 for _, body, start, t in _contexts(texts, *_shared_sets(shared), length, gram):
                     if (own := answers.get(xxhash.xxh64_intdigest(body))) is None:
                         continue
-                    hit = np.flatnonzero(own < keys[t])
-                    if len(hit):
-                        if t not in marks:
-                            marks[t] = np.zeros(len(texts[t]) + 1, np.int32)
-                        np.add.at(marks[t], start + hit, 1)
-                        np.add.at(marks[t], start + hit + length, -1)
+                    if isinstance(own, int):
+                        if own < ids[t]:
+                            spans.setdefault(t, []).append((start, start + len(body)))
+                    else:
+                        for k in np.flatnonzero(own < ids[t]).tolist():
+                            spans.setdefault(t, []).append((start + k, start + k + length))
                 out = [[] for _ in range(6)]
-                for t, mark in marks.items():
-                    gone = np.cumsum(mark[:-1]) > 0
-                    spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
-                    kept = np.frombuffer(texts[t], np.uint8)[~gone].tobytes()
-                    row = int(keys[t]), hashlib.sha256(texts[t]).hexdigest(), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest(), kept if keep_text else None
+                for t, own in spans.items():
+                    kept, at, removed, n = [], 0, 0, 0
+                    for a, b in sorted(own):
+                        if a > at or not n:
+                            n += 1
+                            kept.append(texts[t][at:a])
+                            removed += b - a
+                            at = b
+                        elif b > at:
+                            removed += b - at
+                            at = b
+                    kept = b"".join(kept) + texts[t][at:]
+                    row = ids[t], hashlib.sha256(texts[t]).hexdigest(), removed, n, hashlib.sha256(kept).hexdigest(), kept if keep_text else None
                     for column, value in zip(out, row, strict=True):
                         column.append(value)
                 kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary())
