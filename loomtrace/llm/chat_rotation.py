@@ -103,7 +103,7 @@ WITH turns AS (
   WINDOW w AS (PARTITION BY conv_id, perspective ORDER BY turn ASC NULLS FIRST, speaker, text ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
 )
 SELECT conv_id, perspective, CAST(position AS BIGINT) AS position, turn, role, name, segment,
-  CAST(at AS BIGINT) AS start, CAST(at + length(segment) AS BIGINT) AS "end",
+  CAST(at AS BIGINT) AS "start", CAST(at + length(segment) AS BIGINT) AS "end",
   CAST(CASE WHEN role = 'assistant' THEN at + length(head) END AS BIGINT) AS train_start,
   CAST(CASE WHEN role = 'assistant' THEN at + length(segment) - 1 END AS BIGINT) AS train_end
 FROM placed
