@@ -98,13 +98,13 @@ WITH turns AS (
 ), segments AS (
   SELECT *, head || text || '<|im_end|>' || chr(10) AS segment FROM heads
 ), placed AS (
-  SELECT *, row_number() OVER w - 1 AS position, sum(length(segment)) OVER w - length(segment) AS at
+  SELECT *, row_number() OVER w - 1 AS position, sum(length(segment)) OVER w - length(segment) AS begins
   FROM segments
   WINDOW w AS (PARTITION BY conv_id, perspective ORDER BY turn ASC NULLS FIRST, speaker, text ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
 )
 SELECT conv_id, perspective, CAST(position AS BIGINT) AS position, turn, role, name, segment,
-  CAST(at AS BIGINT) AS "start", CAST(at + length(segment) AS BIGINT) AS "end",
-  CAST(CASE WHEN role = 'assistant' THEN at + length(head) END AS BIGINT) AS train_start,
-  CAST(CASE WHEN role = 'assistant' THEN at + length(segment) - 1 END AS BIGINT) AS train_end
+  CAST(begins AS BIGINT) AS "start", CAST(begins + length(segment) AS BIGINT) AS "end",
+  CAST(CASE WHEN role = 'assistant' THEN begins + length(head) END AS BIGINT) AS train_start,
+  CAST(CASE WHEN role = 'assistant' THEN begins + length(segment) - 1 END AS BIGINT) AS train_end
 FROM placed
 """
