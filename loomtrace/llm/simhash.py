@@ -205,5 +205,5 @@ def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     Rows with a null doc_id have no identity to compare and stay; repeated doc_ids that lead their
     group stay as they came."""
     groups = simhash_groups(docs.where("doc_id is not null"), radius)
-    losers = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("__drop")).distinct()
-    return docs.join(losers, F.col("doc_id") == F.col("__drop"), "left_anti")
+    losers = materialise(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("lost")).distinct(), "lost")
+    return docs.join(losers, docs["doc_id"] == losers["lost"], "left_anti")
