@@ -144,18 +144,17 @@ def count_models(tagged: DataFrame):
 
 
 def match_models(counts):
-    """(float32 counts with the background scaled to the target's number of words, the scales)."""
+    """(whole counts, scales that match the models' numbers of words, whether there is a target of its own)."""
     import numpy as np
 
-    scaled = counts.astype(np.float64)
-    words = scaled[:, :WORD_SLOTS].sum(1)
+    words = counts[:, :WORD_SLOTS].sum(1)
     scales = np.ones(2)
     if words[1] == 0:
-        scaled[1] = scaled[0]
+        counts = np.stack([counts[0], counts[0]])
     elif words[0]:
         scales[0] = words[1] / words[0]
-        scaled[0] *= scales[0]
-    return scaled.astype(np.float32), scales, bool(words[1])
+    small = counts.max(initial=0) < 1 << 31
+    return counts.astype(np.int32) if small else counts, scales, bool(words[1])
 
 
 def own_counts(slot, owner, size: int):
@@ -180,12 +179,12 @@ def token_losses(model, scales, word, pair, sizes, share):
     own_context = np.roll(own_word, 1)
     out = []
     for counts, scale, counted in zip(model, scales, share, strict=True):
-        uni, less = counts[:WORD_SLOTS], scale * counted[owner]
-        total = float(uni.sum(dtype=np.float64)) - less * sizes[owner]
-        single = (np.maximum(uni[word] - less * own_word, 0.0) + ADDED) / (total + ADDED * WORD_SLOTS)
-        base = np.where(first, 0.0, np.maximum(uni[context] - less * own_context, 0.0))
-        base = np.where(base > 1e-3 * scale, base, 0.0)  # float32 counts leave a rest where nothing is left
-        pairs = np.minimum(np.maximum(counts[WORD_SLOTS:][pair] - less * own_pair, 0.0), base)
+        # The text's own share comes off whole counts, so that nothing is left where there is nothing else.
+        uni, own = counts[:WORD_SLOTS], counted[owner]
+        total = scale * (float(uni.sum(dtype=np.float64)) - own * sizes[owner])
+        single = (scale * (uni[word] - own * own_word) + ADDED) / (total + ADDED * WORD_SLOTS)
+        base = np.where(first, 0.0, uni[context] - own * own_context)
+        pairs = np.minimum(counts[WORD_SLOTS:][pair] - own * own_pair, base)
         seen = base > 0
         joint = np.where(seen, pairs / np.where(seen, base, 1.0), 0.0)
         weight = np.where(seen, PAIR_WEIGHT, 0.0)
