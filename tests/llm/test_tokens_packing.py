@@ -14,10 +14,11 @@ from tests.conftest import MEDIUM, SMALL
 from tests.llm.helpers import docs_of, no_docs, odd_docs
 
 PATH = default_tokenizer()
+LIBRARY = Tokenizer.from_file(PATH)
 
 
 def reference_ids(text):
-    return [*Tokenizer.from_file(PATH).encode(text or "", add_special_tokens=False).ids, 1]
+    return [*LIBRARY.encode(text or "", add_special_tokens=False).ids, 1]
 
 
 def crc(ids):
@@ -28,8 +29,7 @@ def test_encoder_equals_the_library():
     draw = random.Random(1)
     letters = [*"abcXYZ ,.,. ..\n\t'’éÉ×÷ßİΣ3½#|<>-\x0b\x0c\x1c\x85\xa0", "<|endoftext|>", "<|ENDOFTEXT|>", "'s", "'LL", "漢", "́", "»", "…", "क्"]
     texts = ["".join(draw.choice(letters) for _ in range(draw.randint(0, 40))) for _ in range(3000)]
-    tokenizer = Tokenizer.from_file(PATH)
-    want = [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    want = [np.array(e.ids, "<u4").tobytes() for e in LIBRARY.encode_batch(texts, add_special_tokens=False)]
     own = encoder(PATH)
     assert own.ids([t.encode() for t in texts]) == want
     assert own.ids([t.encode() for t in texts]) == want  # from the cache
@@ -132,4 +132,6 @@ def test_plan_uses_up_the_histogram():
             for n in pattern:
                 left[n] -= count
         assert not any(left.values())
-        assert used <= 1.03 * sum(n * c for n, c in histogram.items()) / 100 + max(0, sum(c for n, c in histogram.items() if n > 50) - sum(n * c for n, c in histogram.items()) / 100) + 2
+        # Volume and the number of pieces over half a sequence bound any packing from below.
+        least = max(-(-sum(n * c for n, c in histogram.items()) // 100), sum(c for n, c in histogram.items() if n > 50))
+        assert used <= 11 / 9 * least + 1
