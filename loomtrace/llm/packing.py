@@ -144,11 +144,9 @@ def best_fit_runs(histogram: dict[int, int], capacity: int = CAPACITY) -> list[t
     return [run for room in sorted(runs) for run in runs[room]]
 
 
-def plan_sequences(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
-    """(pattern, repeats) pairs that use up the histogram exactly."""
+def _fitted_plan(histogram: dict[int, int], patterns: list[tuple[int, ...]], capacity: int) -> list[tuple[tuple[int, ...], int]]:
     left = dict(histogram)
     plan = []
-    patterns = enumerate_patterns(left, capacity)
     for pattern, weight in sorted(zip(patterns, fit_patterns(left, patterns), strict=True), key=lambda x: (-x[0][0], x[0])):
         uses: dict[int, int] = defaultdict(int)
         for n in pattern:
@@ -161,6 +159,17 @@ def plan_sequences(histogram: dict[int, int], capacity: int = CAPACITY) -> list[
     return plan + best_fit_runs({n: c for n, c in left.items() if c}, capacity)
 
 
+def plan_sequences(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
+    """(pattern, repeats) pairs that use up the histogram exactly.
+
+    Patterns of up to four, three, two pieces and one are fitted in turn, each with best fit for its rest; the
+    plan with the fewest sequences wins, the richer patterns on a tie. Exact fills can use up the short pieces
+    that long ones need, most of all where there are few lengths."""
+    patterns = enumerate_patterns(histogram, capacity)
+    plans = (_fitted_plan(histogram, [p for p in patterns if len(p) <= most], capacity) for most in (4, 3, 2, 1))
+    return min(plans, key=lambda plan: sum(count for _, count in plan))
+
+
 def slot_intervals(plan: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int, int, int]]:
     """(length, first rank, first sequence_id, offset): ranks from there on go to successive sequences."""
     used: dict[int, int] = defaultdict(int)
