@@ -63,7 +63,7 @@ def smooth(det: DataFrame, dims: int, width: int = 5) -> DataFrame:
     """Centred moving average of unit vectors in frame order, unit again; short tracklets are only normalised."""
     half = (width if width % 2 else width + 1) // 2
     near = _in_order().rowsBetween(-half, half)
-    rows = det.withColumn("u", vectors.normalise(F.col("v"))).withColumn("members", F.count("*").over(Window.partitionBy(*KEY)))
+    rows = det.withColumn("u", F.explode(F.array(vectors.normalise(F.col("v"))))).withColumn("members", F.count("*").over(Window.partitionBy(*KEY)))
     mean = F.array(*[F.avg(F.col("u")[k]).over(near) for k in range(dims)])
     rows = rows.withColumn("mean", mean)
     return rows.withColumn("smoothed", F.when((F.col("members") < 3) | F.lit(width <= 1), F.col("u")).otherwise(vectors.normalise(F.col("mean")))).drop("mean", "u")
@@ -71,7 +71,7 @@ def smooth(det: DataFrame, dims: int, width: int = 5) -> DataFrame:
 
 def representative(det: DataFrame, dims: int, how: str = "mean") -> DataFrame:
     """One unit vector per tracklet: the weighted sum, median or mean of its unit vectors."""
-    rows = (weights(det) if how == "weighted" else det).withColumn("u", vectors.normalise(F.col("v")))
+    rows = (weights(det) if how == "weighted" else det).withColumn("u", F.explode(F.array(vectors.normalise(F.col("v")))))  # one row; keeps the norm from being worked out per position
     if how == "weighted":
         merged = F.array(*[F.sum(F.col("u")[k] * F.col("weight")) for k in range(dims)])
     else:
