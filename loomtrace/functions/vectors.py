@@ -20,8 +20,8 @@ def norm(v: Column) -> Column:
 
 def normalise(v: Column) -> Column:
     """v over its length; a zero vector stays as it is."""
-    length = norm(v)
-    return F.transform(v, lambda x: x / F.when(length > 0, length).otherwise(1.0))
+    # The length is an argument of the zip: inside the lambda it would be worked out for every position.
+    return F.zip_with(v, F.array_repeat(norm(v), F.size(v)), lambda x, n: x / F.when(n > 0, n).otherwise(1.0))
 
 
 def cosine_distance(a: Column, b: Column) -> Column:
