@@ -8,7 +8,6 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-import xxhash
 from pyspark.sql import functions as F
 
 from loomtrace.llm import chat_rotation, decontamination, lm_scoring, pii, quality_bayes, quality_rules
@@ -19,36 +18,27 @@ from tests.llm.helpers import docs_of, labels_of, no_docs, odd_docs
 
 
 def slow_scores(docs, good):
-    """Leave-one-out interpolated bigram losses over the same hashed vocabulary, with plain dictionaries."""
-    hashed = {d: [xxhash.xxh32_intdigest(w, 7) for w in (t or "").encode().lower().split()] for d, t in docs.items()}
-    mask = (1 << 64) - 1
-
-    def pair(a, b):
-        m = (a * 0x9E3779B97F4A7C15 & mask) ^ (b * 0xC2B2AE3D27D4EB4F & mask)
-        m ^= m >> 29
-        return (m * 0xBF58476D1CE4E5B9 & mask) >> 42
-
-    words = {d: [h % lm_scoring.WORD_SLOTS for h in hs] for d, hs in hashed.items()}
-    pairs = {d: [pair(a, b) for a, b in zip([0, *hs], hs, strict=False)] for d, hs in hashed.items()}
+    """Leave-one-out interpolated bigram losses over whole words, with plain dictionaries."""
+    words = {d: (t or "").encode().lower().split() for d, t in docs.items()}
     sides = [set(docs), set(good) & set(docs) or set(docs)]
     totals = [sum(len(words[d]) for d in s) for s in sides]
     scales = [totals[1] / totals[0], 1.0]
     uni = [Counter(w for d in s for w in words[d]) for s in sides]
-    bi = [Counter(p for d in s for p in pairs[d]) for s in sides]
+    bi = [Counter(p for d in s for p in zip(words[d], words[d][1:], strict=False)) for s in sides]
     out = {}
     for d in docs:
         losses = []
         for k in (0, 1):
             own = d in sides[k]
-            less_w, less_p = (Counter(words[d]), Counter(pairs[d])) if own else (Counter(), Counter())
+            less_w, less_p = (Counter(words[d]), Counter(zip(words[d], words[d][1:], strict=False))) if own else (Counter(), Counter())
             total = scales[k] * (totals[k] - (len(words[d]) if own else 0))
             loss = 0.0
             for x, w in enumerate(words[d]):
-                single = (scales[k] * (uni[k][w] - less_w[w]) + 0.5) / (total + 0.5 * lm_scoring.WORD_SLOTS)
-                context = scales[k] * (uni[k][words[d][x - 1]] - less_w[words[d][x - 1]]) if x else 0.0
+                single = (scales[k] * (uni[k][w] - less_w[w]) + 0.5) / (total + 0.5 * len(uni[0]))
+                before = words[d][x - 1] if x else None
+                context = uni[k][before] - less_w[before] if x else 0
                 if context > 0:
-                    joint = min(scales[k] * (bi[k][pairs[d][x]] - less_p[pairs[d][x]]), context) / context
-                    single = 0.7 * joint + 0.3 * single
+                    single = 0.7 * (bi[k][before, w] - less_p[before, w]) / context + 0.3 * single
                 loss -= math.log(single)
             losses.append(loss / len(words[d]) if words[d] else None)
         out[d] = (len(words[d]), losses[1], losses[0])
@@ -62,10 +52,19 @@ def test_scores_equal_brute_force(spark):
     assert len(got) == len(want)
     for r in got:
         n, target, background = want[r.doc_id]
-        assert r.n_tokens == n and r.target_loss == pytest.approx(target, rel=1e-4) and r.background_loss == pytest.approx(background, rel=1e-4)
+        assert r.n_tokens == n and r.target_loss == pytest.approx(target, rel=1e-9) and r.background_loss == pytest.approx(background, rel=1e-9)
         assert r.score == pytest.approx(r.target_loss - r.background_loss)
 
 
+def test_scores_alike_in_any_chunks_and_buckets(spark):
+    docs, labels = spark.read.parquet(f"{SMALL}/documents.parquet"), spark.read.parquet(f"{SMALL}/labels.parquet")
+    want = {r.doc_id: r for r in lm_scoring.score_documents(docs, labels).collect()}
+    got = lm_scoring.score_documents(docs.repartition(7), labels, bucket_keys=5_000, least_bits=1).collect()
+    assert len(got) == len(want)
+    for r in got:
+        assert r.n_tokens == want[r.doc_id].n_tokens and r.score == pytest.approx(want[r.doc_id].score, rel=1e-9, abs=1e-12)
+
+
 def test_scores_by_shuffled_labels(spark):
     docs, labels = spark.read.parquet(f"{SMALL}/documents.parquet"), spark.read.parquet(f"{SMALL}/labels.parquet")
     tagged = {r.doc_id: r.good for r in lm_scoring.tag_good(docs, labels).collect()}
