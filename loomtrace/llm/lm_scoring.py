@@ -36,19 +36,16 @@ from loomtrace.llm.tokens import slices, split_bytes, word_table
 from loomtrace.runtime import materialise, ship_package
 
 SEED = 7
-CHUNK_BYTES = 8_000_000
+CHUNK_BYTES = 4_000_000
 LEAST_BITS = 8
 BUCKET_KEYS = 4_000_000
 BROADCAST_ROWS = 2_000_000
 PAIR_WEIGHT = 0.7
 ADDED = 0.5
-CACHE_ENTRIES = 800_000
 
 CHUNK_SCHEMA = "chunk long, n_words long, n_good long, ids array<long>, good array<boolean>, sizes array<long>, vocabulary binary, words binary"
 BUCKET_SCHEMA = "bucket long, chunk long, keys binary, counts binary, n_distinct long"
 
-_cache: dict[bytes, int] = {}
-
 
 def squeeze(array) -> bytes:
     """Unsigned integers as compressed byte planes."""
@@ -78,12 +75,7 @@ def index_words(column):
     whole = pc.fill_null(column.cast(pa.large_string()), "").take(pa.array(range(len(column)), pa.int64()))
     index, distinct, ends = word_table(pc.ascii_lower(whole))
     words = split_bytes(distinct.cast(pa.large_string()))
-    if len(_cache) > CACHE_ENTRIES:
-        _cache.clear()
-    for w in words:
-        if w not in _cache:
-            _cache[w] = xxhash.xxh3_64_intdigest(w, SEED)
-    hashes = np.fromiter(map(_cache.__getitem__, words), np.uint64, len(words))
+    hashes = np.fromiter((xxhash.xxh3_64_intdigest(w, SEED) for w in words), np.uint64, len(words))
     order = np.argsort(-np.bincount(index, minlength=len(words)), kind="stable")
     place = np.empty(len(words), np.int64)
     place[order] = np.arange(len(words))
