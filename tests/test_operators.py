@@ -184,6 +184,24 @@ def test_density_labels():
     assert C.density_labels(np.zeros((1, 1)))[0].tolist() == [-1]
 
 
+def _partition(labels):
+    return {frozenset(k for k, v in labels.items() if v == c) for c in set(labels.values()) - {-1}}
+
+
+@pytest.mark.parametrize("centres", [(0.0,), (0.0, 10.0), (0.0, 10.0, 20.0, 30.0)])
+def test_density_by_component_equals_whole(spark, centres):
+    draw = np.random.default_rng(len(centres))
+    x = np.concatenate([c + np.concatenate([draw.normal(0, 0.1, 6), draw.normal(1.5, 0.1, 5)]) for c in centres] + [[100.0]])
+    d = np.abs(x[:, None] - x[None, :])
+    d[d > 3] = np.inf
+    pairs = [(int(i), int(j), float(d[i, j])) for i, j in np.argwhere(np.isfinite(d)) if i < j]
+    for epsilon in (0.0, 0.3, 2.0):
+        want, strength = C.density_labels(d, 2, 1, epsilon)
+        got = C.density_clusters(spark.createDataFrame(pairs, "i long, j long, d double"), spark.range(len(x)), epsilon).collect()
+        assert _partition({r.id: r.label for r in got}) == _partition(dict(enumerate(want.tolist())))
+        assert [r.probability for r in sorted(got, key=lambda r: r.id)] == pytest.approx(strength.tolist())
+
+
 def test_medoids():
     x = np.array([0.0, 0.1, 0.2, 9.0, 9.1, 9.2])
     assert sorted(C.medoids(np.abs(x[:, None] - x[None, :]), 2, 51).tolist()) == [1, 4]
