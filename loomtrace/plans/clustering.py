@@ -9,6 +9,7 @@ from loomtrace.functions import vectors
 from loomtrace.operators import cluster as C
 from loomtrace.operators import tracklets as T
 from loomtrace.operators.graph import connected_components
+from loomtrace.operators.order import numbered
 from loomtrace.plans.detections import histograms
 from loomtrace.plans.registry import query
 from loomtrace.plans.similarity import DOT_SQL, near
@@ -167,12 +168,23 @@ def triplet_mining(spark, sf_dir):
     heads = tr.groupBy("gid").agg(F.slice(F.array_sort(F.collect_list(F.struct("clip_id", "track_id"))), 1, 2).alias("h"))
     own = F.struct("clip_id", "track_id")
     pos = tr.join(heads, "gid").withColumn("p", F.when(F.col("h")[0] == own, F.get("h", F.lit(1))).otherwise(F.col("h")[0])).where("p is not null")
-    other = tr.select("clip_id", F.col("track_id").alias("b"), F.col("gid").alias("gb"))
     meets = T.overlap_join(T.frame_ranges(det))
     both = meets.unionByName(meets.select("clip_id", F.col("b").alias("a"), F.col("a").alias("b")))
-    apart = tr.join(other, "clip_id").where("gid <> gb").join(both.withColumnRenamed("a", "track_id"), ["clip_id", "track_id", "b"], "left_anti")
-    neg = apart.groupBy("clip_id", "track_id").agg(F.min(F.struct("gb", "b")).alias("n"))
-    rows = pos.select("clip_id", "track_id", F.col("p.clip_id").alias("pc"), F.col("p.track_id").alias("pt")).join(neg.select("clip_id", "track_id", F.col("n.b").alias("nt")), ["clip_id", "track_id"])
+    # A clip's tracklets in order of person and track: the first place that is neither of the own person, whose
+    # places are one run lo to hi, nor of a tracklet in view together. Only such meetings are listed.
+    placed = numbered(tr, ["clip_id", "gid", "track_id"], "r")
+    runs = placed.groupBy("clip_id", "gid").agg(F.min("r").alias("lo"), F.max("r").alias("hi"))
+    clips = placed.groupBy("clip_id").agg(F.min("r").alias("first"), F.max("r").alias("last"))
+    own = placed.join(runs, ["clip_id", "gid"]).join(clips, "clip_id").withColumn("width", F.col("hi") - F.col("lo") + 1)
+    met = both.withColumnRenamed("a", "track_id").join(placed.select("clip_id", F.col("track_id").alias("b"), F.col("r").alias("m")), ["clip_id", "b"])
+    met = met.join(own, ["clip_id", "track_id"]).where(~F.col("m").between(F.col("lo"), F.col("hi")))
+    met = met.withColumn("p", F.col("m") - F.col("first") + 1 - F.when(F.col("m") > F.col("hi"), F.col("width")).otherwise(0))
+    met = met.withColumn("q", F.row_number().over(Window.partitionBy("clip_id", "track_id").orderBy("p")))
+    taken = met.where("p = q").groupBy("clip_id", "track_id").agg(F.count("*").alias("k"))
+    free = own.join(taken, ["clip_id", "track_id"], "left").withColumn("at", F.col("first") + F.coalesce("k", F.lit(0)))
+    free = free.withColumn("at", F.col("at") + F.when(F.col("at") >= F.col("lo"), F.col("width")).otherwise(0))
+    neg = free.select("clip_id", "track_id", "at").join(placed.select(F.col("r").alias("at"), F.col("clip_id").alias("nc"), F.col("track_id").alias("nt")), "at").where("nc = clip_id")
+    rows = pos.select("clip_id", "track_id", F.col("p.clip_id").alias("pc"), F.col("p.track_id").alias("pt")).join(neg.select("clip_id", "track_id", "nt"), ["clip_id", "track_id"])
     rows = rows.join(best.withColumnRenamed("event_id", "anchor"), ["clip_id", "track_id"])
     rows = rows.join(best.select(F.col("clip_id").alias("pc"), F.col("track_id").alias("pt"), F.col("event_id").alias("positive")), ["pc", "pt"])
     rows = rows.join(best.select("clip_id", F.col("track_id").alias("nt"), F.col("event_id").alias("negative")), ["clip_id", "nt"])
