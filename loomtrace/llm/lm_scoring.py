@@ -10,7 +10,7 @@ Score of a document: the mean over its words of the target's loss less the backg
 lower is nearer to the target. A document is scored without its own share in the counts (always in
 the background's, and in the target's where it is labelled good), so no text is judged by itself.
 
-Three passes, none of which moves a text:
+Three passes; texts move only as the word indices of the third:
 
 1. Each task turns its documents into chunks of about ``CHUNK_BYTES`` of text, one row a chunk, with the
    words as indices into the chunk's own vocabulary. The chunks are stored in the shared folder.
