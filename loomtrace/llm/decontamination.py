@@ -9,9 +9,12 @@ consistent windows cover ``SPAN`` tokens of the item, or all of a shorter one.
 The benchmark side of the hash join is broadcast in blocks of at most ``BLOCK_CHARS`` characters: one
 block for common benchmarks, and one more pass over the documents for each further block.
 
+A window with fewer than ``LITERALS`` tokens that are no placeholders (fewer for shorter items) says little
+as a template: such a window is joined by a hash of its words, so verbatim copies of dense items are found,
+and a template hit is extended over the dense tokens beside it.
+
 Defined cases: null texts have no windows; items under ``LEAST`` tokens are too short to tell and match
-nothing; a window needs ``LITERALS`` tokens that are no placeholders (fewer for shorter items); rows with
-a null doc_id can match; repeated rows match one by one; extra columns are not read by ``find_leaks``
+nothing; rows with a null doc_id can match; repeated rows match one by one; extra columns are not read by ``find_leaks``
 and are kept by ``drop_contaminated``.
 """
 
@@ -63,17 +66,17 @@ def _chunk(chunk: bytes) -> int:
     flags = 2 if tail[-1:] in (".", "!", "?", ":") else 0
     if core[0].isdigit() or (len(core) > 1 and core[0] in "$€£+-" and core[1].isdigit()):
         if _NUMBER.fullmatch(core):
-            return _digest("<number>") | flags | 4 * NUMBER
+            return _digest(core.lower()) | flags | 4 * NUMBER
         if (m := _QUANTITY.fullmatch(core)) and m[1].lower() in UNITS:
-            return _digest("<quantity>") | flags | 4 * QUANTITY
+            return _digest(core.lower()) | flags | 4 * QUANTITY
     lower = core.lower()
     if lower in UNITS:
-        return _digest("<unit>") | flags | 4 * UNIT
+        return _digest(lower) | flags | 4 * UNIT
     return _digest(lower) | flags | (1 if core[0].isupper() else 0)
 
 
 def templates(texts: list[bytes | None]):
-    """Template tokens of all texts: (hash, kind, owner, first word, last word + 1), and the words."""
+    """Template tokens of all texts: (hash, hash of the words, kind, owner, first word, last word + 1), and the words."""
     import numpy as np
 
     own = [t.split() if t else [] for t in texts]
@@ -93,32 +96,80 @@ def templates(texts: list[bytes | None]):
     joined = np.zeros(n, bool)
     joined[1:] = (kind[1:] == NAME) & (kind[:-1] == NAME) & ~opens[1:]
     heads = np.flatnonzero(~joined)
-    hashes = packed & ~np.uint64(_FLAGS)
-    hashes[kind == NAME] = np.uint64(_digest("<name>"))
+    digests = packed & ~np.uint64(_FLAGS)
+    kind, raw = kind[heads], digests[heads]
+    marks = np.array([0, *map(_digest, ("<number>", "<unit>", "<quantity>", "<name>"))], np.uint64)
+    hashes = np.where(kind == LITERAL, raw, marks[kind])
+    later = np.flatnonzero(joined)
+    run = np.searchsorted(heads, later, "right") - 1
+    np.add.at(raw, run, digests[later] * (2 * (later - heads[run]) + 1).astype(np.uint64))
     ends = np.append(heads[1:], n)
-    return hashes[heads], kind[heads], owner[heads], heads, ends, [w for x in own for w in x]
+    return hashes, raw, kind, owner[heads], heads, ends, [w for x in own for w in x]
 
 
-def window_hashes(hashes, kind, owner, size: int, literals: int):
-    """(hash, valid) of the windows that start at each token."""
+def _mixed(hashes, at, size: int):
+    """Hashes of the windows that start at ``at``, a slice's length or positions."""
     import numpy as np
 
-    n = len(hashes) - size + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64), np.zeros(0, bool)
-    out = np.zeros(n, np.uint64)
-    plain = np.concatenate([[0], np.cumsum(kind == LITERAL)])
+    out = np.zeros(at if isinstance(at, int) else len(at), np.uint64)
     for k in range(size):
-        out = out * np.uint64(0x100000001B3) + hashes[k : k + n]
+        out = out * np.uint64(0x100000001B3) + (hashes[k : k + at] if isinstance(at, int) else hashes[at + k])
     out ^= out >> np.uint64(31)
     out *= np.uint64(0x9E3779B97F4A7C15)
-    return out, (owner[:n] == owner[size - 1 :]) & (plain[size : size + n] - plain[:n] >= literals)
+    return out
+
+
+def window_hashes(hashes, raw, kind, owner, size: int, literals: int):
+    """(starts, hashes) of the windows with enough literals, by template, and of all others, by their words."""
+    import numpy as np
+
+    n = len(hashes) - size + 1
+    if n <= 0:
+        return [(np.zeros(0, np.int64), np.zeros(0, np.uint64))] * 2
+    plain = np.concatenate([[0], np.cumsum(kind == LITERAL)])
+    whole = owner[:n] == owner[size - 1 :]
+    open_ = plain[size : size + n] - plain[:n] >= literals
+    valid, dense = np.flatnonzero(whole & open_), np.flatnonzero(whole & ~open_)
+    return [(valid, _mixed(hashes, n, size)[valid]), (dense, _mixed(raw, dense, size))]
+
+
+class _Places:
+    """Places of the benchmark by window hash."""
+
+    def __init__(self, table: dict[int, list[tuple[int, int]]]):
+        import numpy as np
+
+        self.keys = np.array(sorted(table), np.uint64)
+        self.bits = np.zeros(1 << 20, bool)
+        self.bits[(self.keys & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
+        self.places = [table[k] for k in self.keys.tolist()]
+
+    def find(self, starts, found):
+        """(start, places) of the windows that are held."""
+        import numpy as np
+
+        if not self.places:
+            return
+        near = np.flatnonzero(self.bits[(found & np.uint64((1 << 20) - 1)).astype(np.int64)])
+        at = np.searchsorted(self.keys, found[near])
+        at[at == len(self.keys)] = 0
+        hit = self.keys[at] == found[near]
+        for t, k in zip(starts[near[hit]].tolist(), at[hit].tolist(), strict=True):
+            yield t, self.places[k]
 
 
 def _core(words: list[bytes]) -> str:
     return " ".join(w.decode("utf-8", "replace").strip(_STRIP).lower() for w in words)
 
 
+def _stretches(anchors: list[tuple[int, int]], breaks: list[int]) -> list[tuple[int, int]]:
+    """The stretches between breaks that hold an anchor."""
+    from bisect import bisect_right
+
+    found = {k: None for k in (bisect_right(breaks, a) for a, _ in anchors)}
+    return [(breaks[k - 1] + 1, breaks[k]) for k in found]
+
+
 class BenchmarkIndex:
     """Template windows of a block of benchmark items, by window size."""
 
@@ -126,7 +177,7 @@ class BenchmarkIndex:
         import numpy as np
 
         self.ids = [i for i, _ in items]
-        hashes, kind, owner, heads, ends, words = templates([None if t is None else t.encode() for _, t in items])
+        hashes, raw, kind, owner, heads, ends, words = templates([None if t is None else t.encode() for _, t in items])
         self.sizes = np.bincount(owner, minlength=len(items)) if len(items) else np.zeros(0, np.int64)
         starts = np.cumsum(self.sizes) - self.sizes
         self.needed = np.minimum(span, self.sizes)
@@ -134,57 +185,46 @@ class BenchmarkIndex:
             [None if kind[t] == LITERAL else _core(words[heads[t] : ends[t]]) for t in range(s, s + n)]
             for s, n in zip(starts.tolist(), self.sizes.tolist(), strict=True)
         ]
-        places: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
+        self.hashes = np.split(hashes, starts[1:])
+        tables: dict[int, list[dict]] = defaultdict(lambda: [defaultdict(list), defaultdict(list)])
         for item, (s, n) in enumerate(zip(starts.tolist(), self.sizes.tolist(), strict=True)):
             if n < LEAST:
                 continue
             size = min(window, n)
             part = slice(s, s + n)
-            found, valid = window_hashes(hashes[part], kind[part], owner[part], size, min(LITERALS, size - 1))
-            for at in np.flatnonzero(valid).tolist():
-                places[size][int(found[at])].append((item, at))
-        self.tables = []
-        for size, table in sorted(places.items()):
-            keys = np.array(sorted(table), np.uint64)
-            bits = np.zeros(1 << 20, bool)
-            bits[(keys & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
-            self.tables.append((size, keys, bits, [table[k] for k in keys.tolist()]))
+            kinds = window_hashes(hashes[part], raw[part], kind[part], owner[part], size, min(LITERALS, size - 1))
+            for table, (at, found) in zip(tables[size], kinds, strict=True):
+                for place, key in zip(at.tolist(), found.tolist(), strict=True):
+                    table[key].append((item, place))
+        self.tables = [(size, [_Places(t) for t in pair]) for size, pair in sorted(tables.items())]
 
     def hits(self, texts: list[bytes | None]) -> list[tuple]:
         """(text index, item index, n_windows, covered tokens, slots) of every reported pair."""
         import numpy as np
 
-        hashes, kind, owner, heads, ends, words = templates(texts)
-        runs: dict[tuple[int, int, int], list[tuple[int, int, int]]] = defaultdict(list)
-        for size, keys, bits, places in self.tables:
-            found, valid = window_hashes(hashes, kind, owner, size, min(LITERALS, size - 1))
-            near = np.flatnonzero(valid & bits[(found & np.uint64((1 << 20) - 1)).astype(np.int64)])
-            at = np.searchsorted(keys, found[near])
-            at[at == len(keys)] = 0
-            for t, k in zip(near[keys[at] == found[near]].tolist(), at[keys[at] == found[near]].tolist(), strict=True):
-                for item, place in places[k]:
-                    runs[(int(owner[t]), item, t - place)].append((t, place, size))
+        hashes, raw, kind, owner, heads, ends, words = templates(texts)
+        runs: dict[tuple[int, int, int], list[tuple[int, int]]] = defaultdict(list)
+        for size, tables in self.tables:
+            for table, (at, found) in zip(tables, window_hashes(hashes, raw, kind, owner, size, min(LITERALS, size - 1)), strict=True):
+                for t, places in table.find(at, found):
+                    for item, place in places:
+                        runs[(int(owner[t]), item, t - place)].append((place, place + size))
         covered: dict[tuple[int, int], set[int]] = defaultdict(set)
         windows: dict[tuple[int, int], int] = defaultdict(int)
         slots: dict[tuple[int, int], set[int]] = defaultdict(set)
-        for (doc, item, _), found in runs.items():
+        first = np.searchsorted(owner, np.arange(len(texts) + 1)).tolist() if runs else []
+        for (doc, item, shift), anchors in runs.items():
+            values = self.values[item]
+            low, high = max(0, first[doc] - shift), min(len(values), first[doc + 1] - shift)
+            unlike = np.flatnonzero(hashes[shift + low : shift + high] != self.hashes[item][low:high]) + low
+            parts = _stretches(sorted(set(anchors)), [low - 1, *unlike.tolist(), high])
+            own = {p for a, b in parts for p in range(a, b)}
             bound: dict[tuple[int, str], str] = {}
-            ok = True
-            own: set[int] = set()
-            for t, place, size in found:
-                for k in range(size):
-                    if place + k in own:
-                        continue
-                    own.add(place + k)
-                    if (value := self.values[item][place + k]) is not None:
-                        new = _core(words[heads[t + k] : ends[t + k]])
-                        ok = ok and bound.setdefault((int(kind[t + k]), value), new) == new
-                        slots[(doc, item)].add(place + k)
-                if not ok:
-                    break
-            if ok:
+            filled = [(p, shift + p) for p in sorted(own) if values[p] is not None]
+            if all(bound.setdefault((int(kind[t]), values[p]), new) == new for p, t in filled for new in [_core(words[heads[t] : ends[t]])]):
                 covered[(doc, item)] |= own
-                windows[(doc, item)] += len(found)
+                windows[(doc, item)] += len(set(anchors))
+                slots[(doc, item)] |= {p for p, _ in filled}
         return [
             (doc, item, windows[doc, item], len(own), len(slots[doc, item]))
             for (doc, item), own in sorted(covered.items())

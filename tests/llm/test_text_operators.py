@@ -344,6 +344,21 @@ def test_disagreeing_slots(spark):
     assert leaks(spark, ["in 41 days the 42 men ate 43 loaves and drank 44 cups of cold water"], item) == set()
 
 
+def test_dense_items_are_found(spark):
+    numbers = "Find the mean of 12, 15, 18, 21, 24, 27, 30, 33, 36, 39 and 42"
+    mixed = "the list 4 kg 7 cm 9 lb of the old shop on main street reads as 5 kg 3 cm 2 lb"
+    items = [(1, "Find the mean of 12, 15, 18, 21, 24"), (2, numbers), (3, mixed)]
+    noise = "some other words that say nothing of note at all, really. "
+    texts = [
+        noise + items[0][1] + ". " + noise,
+        noise + numbers + ". " + noise,
+        noise + "1 2 3 4 5 6 7 8 9 10 11 12 13 14 15 16",  # other numbers
+        noise + mixed.replace("4 kg", "6 kg").replace("2 lb", "8 lb") + " " + noise,
+    ]
+    got = leaks(spark, texts, items)
+    assert {(0, 1), (1, 2), (3, 3)} <= got and not {d for d, _ in got} & {2}
+
+
 def test_leaks_equal_brute_force(spark):
     docs, bench = spark.read.parquet(f"{MEDIUM}/documents.parquet"), spark.read.parquet(f"{MEDIUM}/benchmark.parquet")
     got = {(r.doc_id, r.item_id) for r in decontamination.find_leaks(docs, bench).collect()}
