@@ -2,9 +2,10 @@
 
 Numbers, units and names become typed placeholders (runs of name words become one), other words are
 lower-cased and stripped of punctuation. Windows of ``WINDOW`` template tokens of the benchmark are
-hash-joined with those of every document; a hit is kept while the slots of its alignment are
-consistent, that is, one benchmark value always stands for one document value. A pair is reported when
-consistent windows cover ``SPAN`` tokens of the item, or all of a shorter one.
+hash-joined with those of every document; a hit counts within the maximal stretches of its alignment whose
+slots are consistent, that is, one benchmark value always stands for one document value. A pair is reported
+when such stretches cover ``SPAN`` tokens of the item, or all of a shorter one: a contradictory slot parts
+two stretches and takes nothing from either.
 
 The benchmark side of the hash join is broadcast in blocks of at most ``BLOCK_CHARS`` characters: one
 block for common benchmarks, and one more pass over the documents for each further block.
@@ -170,6 +171,29 @@ def _stretches(anchors: list[tuple[int, int]], breaks: list[int]) -> list[tuple[
     return [(breaks[k - 1] + 1, breaks[k]) for k in found]
 
 
+def _consistent(parts: list[tuple[int, int]], anchors: list[tuple[int, int]], filled: dict[int, tuple]) -> tuple[set[int], int]:
+    """Places in maximal consistent stretches that hold an anchor, and the number of anchors in them."""
+    own: set[int] = set()
+    held: set[tuple[int, int]] = set()
+
+    def close(a, b):
+        if found := [x for x in anchors if a <= x[0] and x[1] <= b]:
+            own.update(range(a, b))
+            held.update(found)
+
+    for start, stop in parts:
+        last: dict[tuple, tuple[str, int]] = {}
+        for p in sorted(x for x in filled if start <= x < stop):
+            key, new = filled[p]
+            value, at = last.get(key, (new, -1))
+            if value != new and at >= start:
+                close(start, p)
+                start = at + 1
+            last[key] = (new, p)
+        close(start, stop)
+    return own, len(held)
+
+
 class BenchmarkIndex:
     """Template windows of a block of benchmark items, by window size."""
 
@@ -218,13 +242,11 @@ class BenchmarkIndex:
             low, high = max(0, first[doc] - shift), min(len(values), first[doc + 1] - shift)
             unlike = np.flatnonzero(hashes[shift + low : shift + high] != self.hashes[item][low:high]) + low
             parts = _stretches(sorted(set(anchors)), [low - 1, *unlike.tolist(), high])
-            own = {p for a, b in parts for p in range(a, b)}
-            bound: dict[tuple[int, str], str] = {}
-            filled = [(p, shift + p) for p in sorted(own) if values[p] is not None]
-            if all(bound.setdefault((int(kind[t]), values[p]), new) == new for p, t in filled for new in [_core(words[heads[t] : ends[t]])]):
-                covered[(doc, item)] |= own
-                windows[(doc, item)] += len(set(anchors))
-                slots[(doc, item)] |= {p for p, _ in filled}
+            filled = {p: ((int(kind[shift + p]), values[p]), _core(words[heads[shift + p] : ends[shift + p]])) for a, b in parts for p in range(a, b) if values[p] is not None}
+            own, held = _consistent(parts, sorted(set(anchors)), filled)
+            covered[(doc, item)] |= own
+            windows[(doc, item)] += held
+            slots[(doc, item)] |= own & filled.keys()
         return [
             (doc, item, windows[doc, item], len(own), len(slots[doc, item]))
             for (doc, item), own in sorted(covered.items())

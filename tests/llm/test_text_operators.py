@@ -344,6 +344,15 @@ def test_disagreeing_slots(spark):
     assert leaks(spark, ["in 41 days the 42 men ate 43 loaves and drank 44 cups of cold water"], item) == set()
 
 
+def test_a_contradiction_parts_stretches(spark):
+    before = "the old man who lived by the river took 5 apples to the market and sold them"
+    after = "all of the people in the small town came to see what he had for 5 dollars each"
+    item = [(1, f"{before} while {after}")]
+    assert leaks(spark, [item[0][1].replace("5 apples", "7 apples").replace("5 dollars", "9 dollars")], item) == {(0, 1)}
+    names = [(2, "yesterday afternoon the teacher asked Tom to read the whole story aloud before the class and then she thanked Tom for it")]
+    assert leaks(spark, [names[0][1].replace("thanked Tom", "thanked Bob")], names) == {(0, 2)}
+
+
 def test_dense_items_are_found(spark):
     numbers = "Find the mean of 12, 15, 18, 21, 24, 27, 30, 33, 36, 39 and 42"
     mixed = "the list 4 kg 7 cm 9 lb of the old shop on main street reads as 5 kg 3 cm 2 lb"
