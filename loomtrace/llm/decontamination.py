@@ -14,8 +14,11 @@ A window with fewer than ``LITERALS`` tokens that are no placeholders (fewer for
 as a template: such a window is joined by a hash of its words, so verbatim copies of dense items are found,
 and a template hit is extended over the dense tokens beside it.
 
-Defined cases: null texts have no windows; items under ``LEAST`` tokens are too short to tell and match
-nothing; rows with a null doc_id can match; repeated rows match one by one; extra columns are not read by ``find_leaks``
+Items of up to ``SPAN`` tokens are also searched word by word, without regard to case and outer punctuation:
+what stands before a copy decides whether its first word reads as a name, and may join it to one.
+
+Defined cases: null texts have no windows; items under ``LEAST`` tokens have no template and are found
+verbatim only, and those under ``LEAST_WORDS`` words are too short to tell and match nothing; rows with a null doc_id can match; repeated rows match one by one; extra columns are not read by ``find_leaks``
 and are kept by ``drop_contaminated``.
 """
 
@@ -34,6 +37,7 @@ WINDOW = 8
 SPAN = 10
 LEAST = 5
 LITERALS = 5
+LEAST_WORDS = 3
 BLOCK_CHARS = 8_000_000
 CACHE_ENTRIES = 800_000
 
@@ -77,7 +81,9 @@ def _chunk(chunk: bytes) -> int:
 
 
 def templates(texts: list[bytes | None]):
-    """Template tokens of all texts: (hash, hash of the words, kind, owner, first word, last word + 1), and the words."""
+    """Template tokens of all texts: (hash, hash of the words, kind, owner, first word, last word + 1).
+
+    Then the words, their hashes and owners."""
     import numpy as np
 
     own = [t.split() if t else [] for t in texts]
@@ -105,7 +111,7 @@ def templates(texts: list[bytes | None]):
     run = np.searchsorted(heads, later, "right") - 1
     np.add.at(raw, run, digests[later] * (2 * (later - heads[run]) + 1).astype(np.uint64))
     ends = np.append(heads[1:], n)
-    return hashes, raw, kind, owner[heads], heads, ends, [w for x in own for w in x]
+    return hashes, raw, kind, owner[heads], heads, ends, [w for x in own for w in x], digests, owner
 
 
 def _mixed(hashes, at, size: int):
@@ -137,7 +143,7 @@ def window_hashes(hashes, raw, kind, owner, size: int, literals: int):
 class _Places:
     """Places of the benchmark by window hash."""
 
-    def __init__(self, table: dict[int, list[tuple[int, int]]]):
+    def __init__(self, table: dict[int, list]):
         import numpy as np
 
         self.keys = np.array(sorted(table), np.uint64)
@@ -201,7 +207,7 @@ class BenchmarkIndex:
         import numpy as np
 
         self.ids = [i for i, _ in items]
-        hashes, raw, kind, owner, heads, ends, words = templates([None if t is None else t.encode() for _, t in items])
+        hashes, raw, kind, owner, heads, ends, words, digests, word_owner = templates([None if t is None else t.encode() for _, t in items])
         self.sizes = np.bincount(owner, minlength=len(items)) if len(items) else np.zeros(0, np.int64)
         starts = np.cumsum(self.sizes) - self.sizes
         self.needed = np.minimum(span, self.sizes)
@@ -221,12 +227,22 @@ class BenchmarkIndex:
                 for place, key in zip(at.tolist(), found.tolist(), strict=True):
                     table[key].append((item, place))
         self.tables = [(size, [_Places(t) for t in pair]) for size, pair in sorted(tables.items())]
+        self.digests: dict[int, object] = {}
+        short: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
+        bounds = np.searchsorted(word_owner, np.arange(len(items) + 1)).tolist()
+        for item in np.flatnonzero(self.sizes <= span).tolist():
+            own = digests[bounds[item] : bounds[item + 1]]
+            if len(own) >= LEAST_WORDS:
+                self.digests[item] = own
+                size = min(window, len(own))
+                short[size][int(_mixed(own, 1, size)[0])].append(item)
+        self.short = [(size, _Places(t)) for size, t in sorted(short.items())]
 
     def hits(self, texts: list[bytes | None]) -> list[tuple]:
         """(text index, item index, n_windows, covered tokens, slots) of every reported pair."""
         import numpy as np
 
-        hashes, raw, kind, owner, heads, ends, words = templates(texts)
+        hashes, raw, kind, owner, heads, ends, words, digests, word_owner = templates(texts)
         runs: dict[tuple[int, int, int], list[tuple[int, int]]] = defaultdict(list)
         for size, tables in self.tables:
             for table, (at, found) in zip(tables, window_hashes(hashes, raw, kind, owner, size, min(LITERALS, size - 1)), strict=True):
@@ -247,6 +263,15 @@ class BenchmarkIndex:
             covered[(doc, item)] |= own
             windows[(doc, item)] += held
             slots[(doc, item)] |= own & filled.keys()
+        for size, table in self.short:
+            n = max(0, len(digests) - size + 1)
+            for t, items in table.find(np.arange(n), _mixed(digests, n, size)):
+                for item in items:
+                    own, doc = self.digests[item], int(word_owner[t])
+                    if np.array_equal(digests[t : t + len(own)], own) and word_owner[t + len(own) - 1] == doc:
+                        windows[(doc, item)] = max(1, windows[(doc, item)])
+                        covered[(doc, item)] = set(range(int(self.sizes[item])))
+                        slots[(doc, item)] = {p for p, v in enumerate(self.values[item]) if v is not None}
         return [
             (doc, item, windows[doc, item], len(own), len(slots[doc, item]))
             for (doc, item), own in sorted(covered.items())

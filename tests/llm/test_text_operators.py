@@ -353,6 +353,20 @@ def test_a_contradiction_parts_stretches(spark):
     assert leaks(spark, [names[0][1].replace("thanked Tom", "thanked Bob")], names) == {(0, 2)}
 
 
+def test_short_items_are_found_anywhere(spark):
+    items = [(1, "What is the capital of France?"), (2, "Who is Barack Obama?"), (3, "Name the seven colours of it")]
+    noise = "some other words that say nothing of note at all, really"
+    texts = [
+        f"{noise}\nGeography Quiz\nWhat is the capital of France?\n{noise}",
+        f"{noise} by Tom Stone Who is Barack Obama? {noise}",
+        f"{noise} Name the seven colours of it, {noise}",
+        f"{noise}. Who is Tom Stone? The capital of Italy, the colours of it",
+        "who is barack",
+        "obama",
+    ]
+    assert leaks(spark, texts, items) == {(0, 1), (1, 2), (2, 3)}
+
+
 def test_dense_items_are_found(spark):
     numbers = "Find the mean of 12, 15, 18, 21, 24, 27, 30, 33, 36, 39 and 42"
     mixed = "the list 4 kg 7 cm 9 lb of the old shop on main street reads as 5 kg 3 cm 2 lb"
