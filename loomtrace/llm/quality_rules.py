@@ -2,34 +2,38 @@
 
 Two passes. The first gathers, over all documents and without a cap, each language's histogram of
 character classes and of its short words; words with at least ``WORD_SHARE`` of a language's words are
-its common words (so at most 1 / WORD_SHARE), and languages with at least ``LANG_SHARE`` of all words
-have a reference (at most 1 / LANG_SHARE). Those references are broadcast. The second pass compares
-each document with its language's reference by the Jensen-Shannon distance (its square root is not
-taken; base 2, so 0..1). A document whose language has no reference is held against the nearest one.
+its common words (so at most 1 / WORD_SHARE). The references of languages with at least ``LANG_SHARE`` of
+all words are broadcast (at most 1 / LANG_SHARE); every other language's reference is sent to its documents
+by a shuffle of those documents only. The second pass compares each document with its language's reference
+by the Jensen-Shannon distance (its square root is not taken; base 2, so 0..1).
 
 Length guards: below ``MIN_WORDS`` words the base rules decide alone, and both thresholds widen with
-1 / n_words, as short histograms diverge by chance.
+1 / n_words, as short histograms diverge by chance. A language of fewer than ``REFERENCE_WORDS`` words has
+too few to tell its common words: its documents are judged by the base rules alone.
 
-Defined cases: a null text has no words and fails the base rules; a null language has no reference;
+Defined cases: a null text has no words and fails the base rules; a document of null language is held
+against the nearest broadcast reference;
 an empty table gives no rows; repeated rows and doc_ids are judged one by one; extra columns are not
 read by ``judge_documents`` and are kept by ``keep_documents``.
 """
 
 from __future__ import annotations
 
+import json
 from collections import Counter
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomtrace.llm.tokens import byte_column, slices
-from loomtrace.runtime import ship_package
+from loomtrace.runtime import materialise, ship_package
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 WORD_SHARE = 0.002
 WORD_BYTES = 12
 LANG_SHARE = 0.001
+REFERENCE_WORDS = 2_500
 CHAR_LIMIT = (0.03, 3.5)  # a + b / n_words
 WORD_LIMIT = (0.06, 5.0)
 
@@ -148,10 +152,24 @@ def _histogram_partitions(batches):
     yield flush()
 
 
-def language_references(docs: DataFrame, word_share: float = WORD_SHARE, lang_share: float = LANG_SHARE) -> dict:
-    """lang -> (class counts, {common word: index}, word counts with the rest last), over all documents."""
+def _reference(rows):
+    """(class counts, {common word: index}, word counts with the rest last) from (kind, key, n)."""
     import numpy as np
 
+    h, index, counts = np.zeros(len(CLASSES)), {}, []
+    for kind, key, n in sorted(rows):
+        if kind == 0:
+            h[CLASSES.index(key)] = n
+        elif kind == 1:
+            index[key.encode()] = len(counts)
+            counts.append(float(n))
+        else:
+            counts.append(float(n - sum(counts)))
+    return h, index, np.array(counts)
+
+
+def _gathered(docs: DataFrame, word_share: float, lang_share: float, others: bool) -> tuple[dict, DataFrame | None]:
+    """References of the languages with ``lang_share`` of all words, and (lang, reference) of the others, if any."""
     ship_package(docs.sparkSession)
     rows = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     sums = rows.mapInArrow(_histogram_partitions, "lang string, kind int, key string, n long").groupBy("lang", "kind", "key").agg(F.sum("n").alias("n"))
@@ -159,29 +177,36 @@ def language_references(docs: DataFrame, word_share: float = WORD_SHARE, lang_sh
     try:
         totals = sums.where("kind = 2").select("lang", F.col("n").alias("total"))
         whole = totals.agg(F.sum("total")).first()[0] or 0
-        large = totals.where(F.col("total") >= max(1.0, lang_share * whole))  # at most 1 / lang_share rows
-        kept = sums.join(F.broadcast(large), "lang").where((F.col("kind") != 1) | (F.col("n") >= word_share * F.col("total"))).collect()
+        least = max(1.0, lang_share * whole)
+        large = totals.where(F.col("total") >= least)  # at most 1 / lang_share rows
+        common = (F.col("kind") != 1) | (F.col("n") >= word_share * F.col("total"))
+        kept = sums.join(F.broadcast(large), "lang").where(common).collect()
+        rest = totals.where((F.col("total") < least) & (F.col("total") >= REFERENCE_WORDS))
+        small = None
+        if others and not rest.isEmpty():
+            small = sums.join(rest, "lang").where(common).groupBy("lang").agg(F.to_json(F.collect_list(F.struct("kind", "key", "n"))).alias("reference"))
+            small = materialise(small, "references")
     finally:
         sums.unpersist()
     found: dict = {}
-    for r in sorted(kept, key=lambda r: (r.lang, r.kind, r.key)):
-        h, index, counts = found.setdefault(r.lang, (np.zeros(len(CLASSES)), {}, []))
-        if r.kind == 0:
-            h[CLASSES.index(r.key)] = r.n
-        elif r.kind == 1:
-            index[r.key.encode()] = len(counts)
-            counts.append(float(r.n))
-        else:
-            counts.append(float(r.n - sum(counts)))
-    return {lang: (h, index, np.array(counts)) for lang, (h, index, counts) in found.items()}
+    for r in kept:
+        found.setdefault(r.lang, []).append((r.kind, r.key, r.n))
+    return {lang: _reference(x) for lang, x in sorted(found.items())}, small
+
+
+def language_references(docs: DataFrame, word_share: float = WORD_SHARE, lang_share: float = LANG_SHARE) -> dict:
+    """lang -> (class counts, {common word: index}, word counts with the rest last), over all documents."""
+    return _gathered(docs, word_share, lang_share, False)[0]
 
 
 def _verdict(words: list[bytes], counts, lang: str | None, references: dict) -> tuple[float, float]:
-    """The character and word divergence from the language's reference, else from the nearest."""
+    """The character and word divergence from the language's reference; for a null language from the nearest."""
     import numpy as np
 
     best = None
-    for h, index, shares in [references[lang]] if lang in references else references.values():
+    for h, index, shares in references.values() if lang is None else [references[lang]] if lang in references else []:
+        if shares.sum() < REFERENCE_WORDS:
+            continue
         rest = len(index)
         own = np.bincount([index.get(w, rest) for w in words], minlength=rest + 1).astype(float)
         pair = divergence(char_histogram(counts), h), divergence(own, shares)
@@ -207,33 +232,63 @@ def _judged(batch, references: dict) -> list[tuple]:
     return [judge_text(t, g, references) for g, t in zip(batch.column("lang").to_pylist(), byte_column(batch.column("text")), strict=True)]
 
 
-def judge_documents(docs: DataFrame) -> DataFrame:
-    """The base figures, the divergences and the verdict of every document."""
-    references = language_references(docs)
+def _judged_rows(docs: DataFrame, lang_share: float, emit, schema) -> DataFrame:
+    """``emit(batch, verdicts)`` over all rows, each judged by its own language's reference."""
+    references, small = _gathered(docs, WORD_SHARE, lang_share, True)
 
     def run(batches):
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                yield emit(batch, _judged(batch, references))
+
+    if small is None:
+        return docs.mapInArrow(run, schema)
+
+    def run_small(batches):
+        import pyarrow as pa
+
+        own: dict = {}
+        for batch in batches:
+            langs, held = batch.column("lang").to_pylist(), batch.column("reference").to_pylist()
+            rows = pa.RecordBatch.from_struct_array(batch.column("row"))
+            texts = byte_column(rows.column("text"))
+            places, verdicts = [], []
+            for k, (lang, reference) in enumerate(zip(langs, held, strict=True)):
+                if reference is not None:  # it comes before its language's documents
+                    own = {lang: _reference([(x["kind"], x["key"], x["n"]) for x in json.loads(reference)])}
+                else:
+                    places.append(k)
+                    verdicts.append(judge_text(texts[k], lang, own))
+            if places:
+                yield emit(rows.take(pa.array(places)), verdicts)
+
+    here = F.col("lang").isNull() | F.col("lang").cast("string").isin(list(references))
+    far = docs.where(~here).select(F.col("lang").cast("string").alias("lang"), F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.lit(None).cast("string").alias("reference"))
+    refs = small.select("lang", F.lit(None).cast(far.schema["row"].dataType).alias("row"), "reference")
+    dealt = far.unionByName(refs).repartition("lang").sortWithinPartitions("lang", F.col("reference").isNull())
+    return docs.where(here).mapInArrow(run, schema).unionByName(dealt.mapInArrow(run_small, schema))
+
+
+def judge_documents(docs: DataFrame, lang_share: float = LANG_SHARE) -> DataFrame:
+    """The base figures, the divergences and the verdict of every document."""
+
+    def emit(batch, verdicts):
         import pyarrow as pa
 
         kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64()] * 2
-        for whole in batches:
-            for batch in slices(whole, "text"):
-                rows = _judged(batch, references)
-                arrays = [pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *arrays], names=["doc_id", *COLUMNS])
+        arrays = [pa.array([r[k] for r in verdicts], t) for k, t in enumerate(kinds)]
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), *arrays], names=["doc_id", *COLUMNS])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, JUDGED_SCHEMA)
+    return _judged_rows(rows, lang_share, emit, JUDGED_SCHEMA)
 
 
-def keep_documents(docs: DataFrame) -> DataFrame:
+def keep_documents(docs: DataFrame, lang_share: float = LANG_SHARE) -> DataFrame:
     """The rows that pass, with all their columns."""
-    references = language_references(docs)
 
-    def run(batches):
+    def emit(batch, verdicts):
         import pyarrow as pa
 
-        for whole in batches:
-            for batch in slices(whole, "text"):
-                yield batch.filter(pa.array([r[6] for r in _judged(batch, references)], pa.bool_()))
+        return batch.filter(pa.array([r[6] for r in verdicts], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return _judged_rows(docs, lang_share, emit, docs.schema)

@@ -127,6 +127,23 @@ def test_references_cover_all_documents(spark):
         assert {w.decode(): counts[k] for w, k in index.items()} == {w: n for w, n in words[lang].items() if n >= 0.002 * total and len(w.encode()) <= 12}
 
 
+def test_small_languages_keep_their_reference(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    want = {tuple(r) for r in quality_rules.judge_documents(docs).collect()}
+    for share in (0.12, 0.9):  # one and all languages below the share
+        assert {tuple(r) for r in quality_rules.judge_documents(docs, share).collect()} == want
+        kept = quality_rules.keep_documents(docs, share)
+        assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {r[0] for r in want if r[7]}
+
+
+def test_tiny_languages_are_not_held_against_others(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    references = quality_rules.language_references(docs)
+    text = next(r.text for r in docs.collect() if r.lang == "de" and quality_rules.judge_text(r.text.encode(), "de", references)[6]).encode()
+    del references["de"]
+    assert quality_rules.judge_text(text, "de", references)[6]
+
+
 def test_divergence_bounds():
     p, q = np.array([1.0, 0, 3]), np.array([0.0, 5, 0])
     assert quality_rules.divergence(p, 7 * p) == pytest.approx(0) and quality_rules.divergence(p, q) == pytest.approx(1)
