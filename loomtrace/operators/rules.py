@@ -26,10 +26,29 @@ def text(doc: Column, path: str) -> Column:
     return F.when(kind(doc, path) == "TEXT", F.try_variant_get(doc, path, "string"))
 
 
-def violations(rows: DataFrame, rules: list[tuple[str, str, Column]]) -> DataFrame:
-    """rows: id and doc (JSON text). A rule (path, message, bad) adds a row where bad is true; one pass over the rows."""
+def elements(doc: Column, path: str) -> Column:
+    return F.try_variant_get(doc, path, "array<variant>")
+
+
+def broken_rule(path: Column | str, message: str, bad: Column) -> Column:
+    path = F.lit(path) if isinstance(path, str) else path
+    return F.when(F.coalesce(bad, F.lit(False)), F.struct(path.alias("path"), F.lit(message).alias("message")))
+
+
+def place(path: str, *at: Column) -> Column:
+    """``path`` for the first element, as the documents' oracle has it, and ``path[k]`` for a later one."""
+    first = at[0] == 0
+    for k in at[1:]:
+        first = first & (k == 0)
+    return F.when(first, F.lit(path)).otherwise(F.concat(F.lit(path), *[F.concat(F.lit("["), k.cast("string"), F.lit("]")) for k in at]))
+
+
+def violations(rows: DataFrame, rules: list[tuple[str, str, Column] | Column]) -> DataFrame:
+    """rows: id and doc (JSON text). A rule (path, message, bad) adds a row where bad is true, a rule over an
+    array's elements is an array of such rows; one pass over the rows."""
     held = rows.withColumn("doc", F.try_parse_json("doc"))
-    broken = F.array(*[F.when(F.coalesce(bad, F.lit(False)), F.struct(F.lit(path).alias("path"), F.lit(message).alias("message"))) for path, message, bad in rules])
+    single = F.array(*[broken_rule(*x) for x in rules if isinstance(x, tuple)])
+    broken = F.concat(single, *[F.coalesce(x, F.array().cast("array<struct<path:string,message:string>>")) for x in rules if not isinstance(x, tuple)])
     return held.select("id", F.explode(F.filter(broken, lambda x: x.isNotNull())).alias("v")).select("id", "v.path", "v.message")
 
 
@@ -48,29 +67,47 @@ def detection_rules() -> list[tuple[str, str, Column]]:
     ]
 
 
-def appearance_rules() -> list[tuple[str, str, Column]]:
+def appearance_rules() -> list[tuple[str, str, Column] | Column]:
     d = F.col("doc")
-    s, e, p = integer(d, "$.frame_ranges[0][0]"), integer(d, "$.frame_ranges[0][1]"), number(d, "$.cluster_probability")
+    ranges, p = elements(d, "$.frame_ranges"), number(d, "$.cluster_probability")
+
+    def of_range(x, k):
+        s, e, pair = integer(x, "$[0]"), integer(x, "$[1]"), F.coalesce(F.size(elements(x, "$")) == 2, F.lit(False))
+        at = place("frame_ranges", k)
+        return F.array(
+            broken_rule(at, "must be a pair of start and end", ~pair),
+            broken_rule(at, "must hold integers", pair & (missing(s) | missing(e))),
+            broken_rule(at, "start must not pass end", pair & (s > e)),
+        )
+
     return [
         ("clip_id", "must be a string", missing(text(d, "$.clip_id"))),
         ("local_track_id", "must be an integer", missing(integer(d, "$.local_track_id"))),
-        ("frame_ranges", "must hold integers", missing(s) | missing(e)),
-        ("frame_ranges", "start must not pass end", s > e),
+        ("frame_ranges", "must hold integers", missing(ranges)),
+        F.flatten(F.transform(ranges, of_range)),
         ("cluster_probability", "must be within 0 and 1", (p < 0) | (p > 1)),
     ]
 
 
-def scene_rules() -> list[tuple[str, str, Column]]:
+def scene_rules() -> list[tuple[str, str, Column] | Column]:
     d = F.col("doc")
-    label, first = text(d, "$.label"), kind(d, "$.crime_segments[0]")
-    s, e = number(d, "$.crime_segments[0].timestamp_start"), number(d, "$.crime_segments[0].timestamp_end")
-    person = kind(d, "$.crime_segments[0].involved_people_global[0]")
+    label, segments = text(d, "$.label"), elements(d, "$.crime_segments")
+    some = F.coalesce(F.size(segments) > 0, F.lit(False))
+
+    def of_segment(x, k):
+        late = broken_rule(place("crime_segments", k), "start must not pass end", number(x, "$.timestamp_start") > number(x, "$.timestamp_end"))
+
+        def of_person(y, j):
+            return broken_rule(place("involved_people_global", k, j), "must hold integers", missing(integer(y, "$")))
+
+        people = F.transform(elements(x, "$.involved_people_global"), of_person)
+        return F.concat(F.array(late), F.coalesce(people, F.array().cast("array<struct<path:string,message:string>>")))
+
     return [
         ("label", "must be normal or crime", missing(label) | ~label.isin("normal", "crime")),
-        ("crime_segments", "a normal clip has none", (label == "normal") & first.isNotNull()),
-        ("crime_segments", "a crime clip has one or more", (label == "crime") & missing(first)),
-        ("crime_segments", "start must not pass end", s > e),
-        ("involved_people_global", "must hold integers", person.isNotNull() & (person != "INT")),
+        ("crime_segments", "a normal clip has none", (label == "normal") & some),
+        ("crime_segments", "a crime clip has one or more", (label == "crime") & ~some),
+        F.flatten(F.transform(segments, of_segment)),
     ]
 
 

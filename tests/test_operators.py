@@ -236,6 +236,27 @@ def test_rules_tell_booleans_from_integers(spark):
     assert {x[0] for x in got} == {1, 2, 3}
 
 
+def test_rules_reach_every_element(spark):
+    def broken(doc, rules):
+        return {(r.path, r.message) for r in R.violations(spark.createDataFrame([(1, doc)], "id long, doc string"), rules).collect()}
+
+    entry = '{"clip_id": "a", "local_track_id": 1, "frame_ranges": %s}'
+    assert broken(entry % "[[1, 2], [3, 4]]", R.appearance_rules()) == broken(entry % "[]", R.appearance_rules()) == set()
+    assert broken(entry % "[[1, 2], [9, 4], [5, true], [6]]", R.appearance_rules()) == {
+        ("frame_ranges[1]", "start must not pass end"),
+        ("frame_ranges[2]", "must hold integers"),
+        ("frame_ranges[3]", "must be a pair of start and end"),
+    }
+    assert broken('{"clip_id": "a", "local_track_id": 1}', R.appearance_rules()) == {("frame_ranges", "must hold integers")}
+    segment = '{"timestamp_start": %s, "timestamp_end": 5, "involved_people_global": [%s]}'
+    scene = '{"label": "crime", "crime_segments": [%s, %s, {}]}' % (segment % (1, '3, "local_7"'), segment % (6.5, "4, 5, null"))
+    assert broken(scene, R.scene_rules()) == {
+        ("involved_people_global[0][1]", "must hold integers"),
+        ("crime_segments[1]", "start must not pass end"),
+        ("involved_people_global[1][2]", "must hold integers"),
+    }
+
+
 def test_read_or_compute(spark, tmp_path):
     path, calls = f"file://{tmp_path}/cache", []
 
