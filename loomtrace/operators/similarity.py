@@ -31,6 +31,10 @@ def _matrices(frames):
             yield np.asarray(r.a_ids, np.int64), np.asarray(r.b_ids, np.int64), a @ b.T, bool(r.same)
 
 
+#: No cosine distance is larger.
+ALL = 2.0
+
+
 def radius_join(vecs: DataFrame, radius: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(i, j, d), i < j, of unit vectors (id, v) at cosine distance d <= radius. Exact; only hits leave a task."""
     ship_package(vecs.sparkSession)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomtrace.functions import vectors
 from loomtrace.operators import cluster as C
+from loomtrace.operators import similarity as S
 from loomtrace.operators import tracklets as T
 from loomtrace.operators.graph import connected_components
 from loomtrace.operators.order import numbered
@@ -66,13 +67,13 @@ def kmedoids_prototypes(spark, sf_dir):
 @query()
 def hdbscan_clusters(spark, sf_dir):
     nodes = _nodes(spark, sf_dir)
-    out = C.density_clusters(near(spark, sf_dir, 0.75), nodes, 0.6)
+    out = C.density_clusters(near(spark, sf_dir, S.ALL), nodes, 0.6)
     return out.select("id", "label", F.round("probability", 5).alias("probability"))
 
 
 @query()
 def noise_reassign(spark, sf_dir):
-    pairs = near(spark, sf_dir, 0.75)
+    pairs = near(spark, sf_dir, S.ALL)
     labels = C.density_clusters(pairs, _nodes(spark, sf_dir), 0.6)
     nodes = histograms(spark, sf_dir).select(F.col("vec_id").alias("id"), "hist")
     return C.reassign_noise(nodes, labels, pairs, 0.74).select("id", "label", F.round("probability", 5).alias("probability"))

@@ -202,6 +202,48 @@ def test_density_by_component_equals_whole(spark, centres):
         assert [r.probability for r in sorted(got, key=lambda r: r.id)] == pytest.approx(strength.tolist())
 
 
+def test_density_queries_use_the_whole_matrix(spark):
+    from loomtrace.plans.registry import clustering as P
+    from tests.conftest import SMALL
+
+    rows = sorted(tables.embeddings(spark, SMALL).collect(), key=lambda r: r.vec_id)
+    x = np.array([r.v for r in rows])
+    d = np.clip(1 - x @ x.T, 0, 2)
+    np.fill_diagonal(d, 0.0)
+    labels, _ = C.density_labels(d, 2, 1, 0.6)
+    got = {r.id: r.label for r in P.hdbscan_clusters(spark, SMALL).collect()}
+    assert _partition(got) == _partition({r.vec_id: c for r, c in zip(rows, labels.tolist(), strict=True)})
+    hist = {r.vec_id: np.array(r.hist) for r in P.histograms(spark, SMALL).collect()}
+    place = {r.vec_id: k for k, r in enumerate(rows)}
+    label, clusters = dict(got), {}
+    for k, c in sorted(got.items()):
+        if c != -1:
+            clusters.setdefault(c, []).append(k)
+    for k in sorted(k for k, c in got.items() if c == -1):
+        means = [(np.mean([d[place[k], place[m]] for m in own]), c) for c, own in clusters.items()]
+        if not means:
+            continue
+        mean, c = min(means)
+        whole = np.mean([hist[m] for m in clusters[c]], axis=0)
+        whole = whole / (np.linalg.norm(whole) or 1.0)
+        if mean <= 0.74 and ((hist[k] - whole) ** 2 / np.maximum(hist[k] + whole, 1e-12)).sum() <= 0.5:
+            label[k] = c
+            clusters[c].append(k)
+    assert {r.id: r.label for r in P.noise_reassign(spark, SMALL).collect()} == label
+
+
+def test_far_pairs_make_clusters_too(spark, monkeypatch):
+    from loomtrace.plans.registry import clustering as P
+
+    x = np.zeros((6, 6))
+    for k, far in enumerate((0.1, 0.2, 0.8)):  # three pairs at these distances, all else at 1
+        x[2 * k, 2 * k], x[2 * k + 1, 2 * k], x[2 * k + 1, 2 * k + 1] = 1, 1 - far, math.sqrt(1 - (1 - far) ** 2)
+    rows = spark.createDataFrame([(k, 0, v.tolist()) for k, v in enumerate(x)], "vec_id long, label int, v array<double>")
+    monkeypatch.setattr(tables, "embeddings", lambda *_: rows)
+    monkeypatch.setattr(P, "_nodes", lambda *_: rows.select(F.col("vec_id").alias("id")))
+    assert _partition({r.id: r.label for r in P.hdbscan_clusters(spark, "").collect()}) == {frozenset({0, 1}), frozenset({2, 3}), frozenset({4, 5})}
+
+
 def test_medoids():
     x = np.array([0.0, 0.1, 0.2, 9.0, 9.1, 9.2])
     assert sorted(C.medoids(np.abs(x[:, None] - x[None, :]), 2, 51).tolist()) == [1, 4]
