@@ -5,18 +5,52 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomtrace.runtime import discard, materialise
+from loomtrace.operators.skew import join_heavy
+from loomtrace.runtime import discard, materialise, ship_package
 
 MAX_ROUNDS = 60
+TASK_EDGES = 500_000
 
 
-def connected_components(edges: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
+def least_reachable(a, b):
+    """(nodes, least node reachable from each) of the undirected edges a - b, two arrays of integers."""
+    import numpy as np
+
+    nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b = ends[: len(a)], ends[len(a) :]
+    low = np.arange(len(nodes))
+    while True:
+        # Hang the larger root of every edge on the smaller one, then let every node point at its root.
+        x, y = low[a], low[b]
+        if (x == y).all():
+            return nodes, nodes[low]
+        np.minimum.at(low, np.maximum(x, y), np.minimum(x, y))
+        while not np.array_equal(up := low[low], low):
+            low = up
+
+
+def _one_task(edges: DataFrame) -> DataFrame:
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        held = [(x.column("u").to_numpy(), x.column("v").to_numpy()) for x in batches if x.num_rows]
+        if held:
+            nodes, low = least_reachable(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(low, pa.int64())], names=["node", "component"])
+
+    ship_package(edges.sparkSession)
+    return edges.coalesce(1).mapInArrow(run, "node long, component long")
+
+
+def connected_components(edges: DataFrame, max_rounds: int = MAX_ROUNDS, task_edges: int = TASK_EDGES) -> DataFrame:
     """(node, component) for every node of an undirected edge table (src, dst); component is the least node.
 
     Alternating large-star and small-star rounds: each replaces edges so that nodes hang on the least
     neighbour they know of, until nothing changes. Rounds grow with the logarithm of a component's
-    size. Only minima are aggregated (map-side), a hub's neighbours never meet in one row, and each
-    round is written to the shared folder. Null ends are ignored.
+    size. Only minima are aggregated (map-side), hubs are joined by broadcast so that their edges never meet
+    in one task, and each round is written to the shared folder. As soon as no more than ``task_edges``
+    distinct edges (of whole numbers) are left, counted each round, one task finishes them. Null ends are ignored.
     """
     work = materialise(
         edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).where("u is not null and v is not null and src is not null and dst is not null").distinct(),
@@ -24,17 +58,25 @@ def connected_components(edges: DataFrame, max_rounds: int = MAX_ROUNDS) -> Data
     )
     loops = work.where("u = v").select("u")
     work_edges, seen = work.where("u <> v"), None
+    whole = all(f.dataType.typeName() in ("long", "integer", "short", "byte") for f in work.schema)
+    left = work_edges.count()
     for k in range(max_rounds):
+        if whole and left <= task_edges:
+            alone = loops.select(F.col("u").cast("long").alias("node"), F.col("u").cast("long").alias("component"))
+            held = _one_task(work_edges.select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v"))).unionByName(alone)
+            return held.groupBy("node").agg(F.min("component").alias("component"))
         # Large star: every larger neighbour of a node, and the node itself, point at its least neighbour.
         both = work_edges.unionByName(work_edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = materialise(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n")), f"least-{k}")
+        large = join_heavy(both, least, ["u"], 2 * left).where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = materialise(large.distinct(), f"large-{k}")
         # Small star: the smaller neighbours of a node, and the node itself, point at the least of them.
-        low = large.distinct().groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).where("u <> v")
+        low = materialise(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), f"low-{k}")
+        small = join_heavy(large, low, ["u"], left).select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).where("u <> v")
         new = materialise(small.distinct(), f"stars-{k}")
         sums = new.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x"), F.sum(F.col("u").cast("decimal(38,0)")).alias("s"), F.sum(F.col("v").cast("decimal(38,0)")).alias("t")).first()
-        state = tuple(sums)
+        discard(least, large, low)
+        state, left = tuple(sums), sums["n"]
         if k:
             discard(work_edges)
         work_edges = new

@@ -319,3 +319,27 @@ def test_detections_json_and_frames(spark, tmp_path):
     rows = spark.createDataFrame([("1", "/v", 1, [(1, [1.0], 0.5, None, [0.1, 0.2, 0.2, 0.2]), (2, None, 0.5, 0.1, None)])], schema)
     r = tables.flatten_frames(rows).collect()
     assert len(r) == 1 and r[0].confidence == 0.5 and r[0].center_x == pytest.approx(0.2)
+
+
+def test_components_in_rounds_and_in_one_task(spark):
+    import random
+
+    from loomtrace.operators.graph import connected_components
+
+    draw = random.Random(5)
+    pairs = [(draw.randrange(400), draw.randrange(400)) for _ in range(260)] + [(1000, 1001 + k) for k in range(3000)] + [(5000 + k, 5001 + k) for k in range(60)] + [(7, 7), (9000, 9000)]
+    home = {x: x for p in pairs for x in p}
+
+    def root(x):
+        while home[x] != x:
+            x = home[x]
+        return x
+
+    for a, b in pairs:
+        a, b = sorted((root(a), root(b)))
+        home[b] = a
+    want = {x: root(x) for x in home}
+    edges = spark.createDataFrame([*pairs, (None, 3)], "src long, dst long")
+    for most in (0, 1500, 500_000):
+        assert {r.node: r.component for r in connected_components(edges, task_edges=most).collect()} == want
+    assert connected_components(edges.limit(0)).count() == 0
