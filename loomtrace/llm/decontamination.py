@@ -30,7 +30,7 @@ from collections import defaultdict
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomtrace.llm.tokens import byte_column, slices
+from loomtrace.llm.tokens import CACHE_CHUNK_BYTES, byte_column, releasing, slices, task_cache, trim
 from loomtrace.runtime import ship_package
 
 WINDOW = 8
@@ -39,7 +39,6 @@ LEAST = 5
 LITERALS = 5
 LEAST_WORDS = 3
 BLOCK_CHARS = 8_000_000
-CACHE_ENTRIES = 800_000
 
 #: Words that stand for a unit of measure or money.
 UNITS = frozenset(
@@ -54,7 +53,7 @@ _NUMBER = re.compile(r"[$€£+-]?[0-9][0-9.,:/]*(?:st|nd|rd|th|%)?")
 _QUANTITY = re.compile(r"[$€£+-]?[0-9][0-9.,]*([a-zA-Z]+)")
 _STRIP = " \t.,;:!?\"'()[]{}<>*#&%|~`“”‘’«»…-"
 _FLAGS = 0x1F  # low bits of a cached value: 1 capital, 2 ends a sentence, 4 * kind
-_cache: dict[bytes, int] = {}
+_cache: dict[bytes, int] = task_cache()
 
 
 def _digest(text: str) -> int:
@@ -87,13 +86,16 @@ def templates(texts: list[bytes | None]):
     import numpy as np
 
     own = [t.split() if t else [] for t in texts]
-    if len(_cache) > CACHE_ENTRIES:
-        _cache.clear()
-    for c in set().union(*own).difference(_cache):
+    trim(_cache)
+    fresh = set().union(*own).difference(_cache)
+    for c in fresh:
         _cache[c] = _chunk(c)
     sizes = np.fromiter(map(len, own), np.int64, len(own))
     n = int(sizes.sum())
     packed = np.fromiter((v for w in own for v in map(_cache.__getitem__, w)), np.uint64, n)
+    for c in fresh:
+        if len(c) > CACHE_CHUNK_BYTES:
+            del _cache[c]
     flags = (packed & np.uint64(_FLAGS)).astype(np.uint8)
     owner = np.repeat(np.arange(len(own)), sizes)
     opens = np.ones(n, bool)
@@ -320,7 +322,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK_C
 
     out = None
     for index in _indexes(benchmark, block_chars):
-        part = rows.mapInArrow(scan(index), LEAK_SCHEMA)
+        part = rows.mapInArrow(releasing(scan(index)), LEAK_SCHEMA)
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -344,5 +346,5 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, block_chars: int =
         return run
 
     for index in _indexes(benchmark, block_chars):
-        docs = docs.mapInArrow(scan(index), docs.schema)
+        docs = docs.mapInArrow(releasing(scan(index)), docs.schema)
     return docs

@@ -18,7 +18,7 @@ from collections import defaultdict
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomtrace.llm.tokens import END_ID, encoder, slices
+from loomtrace.llm.tokens import END_ID, encoder, releasing, slices
 from loomtrace.runtime import materialise, ship_package
 
 CAPACITY = 4096
@@ -209,7 +209,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, en
     spark = docs.sparkSession
     ship_package(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    pieces = materialise(rows.mapInArrow(_piece_partitions(tokenizer, capacity, end_id), PIECE_SCHEMA), "pieces")
+    pieces = materialise(rows.mapInArrow(releasing(_piece_partitions(tokenizer, capacity, end_id)), PIECE_SCHEMA), "pieces")
     counts = materialise(pieces.groupBy("shard", "length").agg(F.count("*").alias("n")), "piece-counts")
     histogram = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most capacity rows
     intervals = slot_intervals(plan_sequences(histogram, capacity))

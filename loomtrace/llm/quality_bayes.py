@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomtrace.llm.quality_rules import char_histogram
-from loomtrace.llm.tokens import byte_column, slices
+from loomtrace.llm.tokens import CACHE_CHUNK_BYTES, byte_column, releasing, slices, task_cache, trim
 from loomtrace.runtime import materialise, ship_package
 
 TRAIN_ROWS = 6000
@@ -35,11 +35,10 @@ RIDGE = 2e-3
 STEPS = 300
 EVIDENCE_LIMIT = 12.0
 SEED = 11
-CACHE_ENTRIES = 800_000
 
 SHAPE = ("symbols", "capitals", "digits", "other", "stutter", "variety", "length", "word_length")
 _PUNCTUATION = b".,;:!?\"'()[]{}*#$%&|<>-_=+/\\"
-_cache: dict[bytes, int] = {}
+_cache: dict[bytes, int] = task_cache()
 
 
 def featurise(texts: list[bytes | None]):
@@ -48,13 +47,16 @@ def featurise(texts: list[bytes | None]):
     import xxhash
 
     words = [t.lower().split() if t else [] for t in texts]
-    if len(_cache) > CACHE_ENTRIES:
-        _cache.clear()
+    trim(_cache)
     digest = xxhash.xxh32_intdigest
-    for w in set().union(*words).difference(_cache):
+    fresh = set().union(*words).difference(_cache)
+    for w in fresh:
         _cache[w] = digest(w.strip(_PUNCTUATION) or w, SEED) % BUCKETS
     sizes = np.fromiter(map(len, words), np.int64, len(words))
     buckets = np.fromiter((b for own in words for b in map(_cache.__getitem__, own)), np.int64, int(sizes.sum()))
+    for w in fresh:
+        if len(w) > CACHE_CHUNK_BYTES:
+            del _cache[w]
     owner = np.repeat(np.arange(len(words)), sizes)
     shape = np.zeros((len(texts), len(SHAPE)))
     same = np.zeros(len(buckets), bool)
@@ -195,7 +197,7 @@ def classify_documents(docs: DataFrame, labels: DataFrame, host: str = "source",
     """doc_id, evidence and posteriors of both heads, site rates, and kept."""
     heads = train_heads(docs, labels, rows)
     table = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(host).cast("string").alias("host"), F.col(path).cast("string").alias("path"), F.col("text").cast("string").alias("text"))
-    scored = materialise(table.mapInArrow(_evidence(heads), "doc_id long, host string, path string, q double, t double"), "evidence")
+    scored = materialise(table.mapInArrow(releasing(_evidence(heads)), "doc_id long, host string, path string, q double, t double"), "evidence")
     for k in ("q", "t"):
         scored = scored.withColumn(f"p{k}", 1 / (1 + F.exp(-F.col(k))))
     paths = materialise(scored.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("pq").alias("sq"), F.sum("pt").alias("st")), "paths")

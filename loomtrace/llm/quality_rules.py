@@ -1,18 +1,19 @@
 """Quality rules by distribution divergence.
 
 Two passes. The first gathers, over all documents and without a cap, each language's histogram of
-character classes and of its short words; words with at least ``WORD_SHARE`` of a language's words are
-its common words (so at most 1 / WORD_SHARE). The references of languages with at least ``LANG_SHARE`` of
-all words are broadcast (at most 1 / LANG_SHARE); every other language's reference is sent to its documents
-by a shuffle of those documents only. The second pass compares each document with its language's reference
-by the Jensen-Shannon distance (its square root is not taken; base 2, so 0..1).
+character classes and of its words; words with at least ``WORD_SHARE`` of a language's words are
+its common words (so at most 1 / WORD_SHARE). A task's histograms are written as they are; only words that
+have that share of some task's words can have it of all, so only those are summed. The references of
+languages with at least ``LANG_SHARE`` of all words are broadcast (at most 1 / LANG_SHARE); every other
+language's reference is sent to its documents by a shuffle of those documents only. The second pass compares
+each document with its language's reference by the Jensen-Shannon distance (base 2, so 0..1).
 
 Length guards: below ``MIN_WORDS`` words the base rules decide alone, and both thresholds widen with
 1 / n_words, as short histograms diverge by chance. A language of fewer than ``REFERENCE_WORDS`` words has
 too few to tell its common words: its documents are judged by the base rules alone.
 
 Defined cases: a null text has no words and fails the base rules; a document of null language is held
-against the nearest broadcast reference;
+against the nearest broadcast reference; a very long text is one row of one task's histogram;
 an empty table gives no rows; repeated rows and doc_ids are judged one by one; extra columns are not
 read by ``judge_documents`` and are kept by ``keep_documents``.
 """
@@ -25,21 +26,21 @@ from collections import Counter
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomtrace.llm.tokens import byte_column, slices
-from loomtrace.runtime import materialise, ship_package
+from loomtrace.llm.tokens import byte_column, releasing, slices, word_table
+from loomtrace.runtime import discard, materialise, ship_package
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 WORD_SHARE = 0.002
-WORD_BYTES = 12
 LANG_SHARE = 0.001
 REFERENCE_WORDS = 2_500
-CHAR_LIMIT = (0.03, 3.5)  # a + b / n_words
+CHAR_LIMIT = (0.03, 3.5)  # a distance may reach the root of a + b / n_words
 WORD_LIMIT = (0.06, 5.0)
 
 CLASSES = ("lower", "upper", "digit", "space", "punctuation", "symbol", "other")
 SYMBOLS = b"#*$%&|<>"
-HELD_KEYS = 200_000
+HELD_WORDS = 300_000
+BROADCAST_BYTES = 16 << 20
 
 _tables = None
 
@@ -113,43 +114,73 @@ def divergence(p, q) -> float:
     return float(parts.sum() / 2)
 
 
-def _histogram_partitions(batches):
-    """(lang, kind, key, n): kind 0 a character class, 1 a short word, 2 the number of words."""
-    import numpy as np
-    import pyarrow as pa
-
-    words: dict = {}
-    chars: dict = {}
-
-    def flush():
-        rows = []
-        for lang, h in chars.items():
-            rows += [(lang, 0, CLASSES[k], int(n)) for k, n in enumerate(h[:7]) if n]
-            rows.append((lang, 2, "", int(h[7])))
-        for lang, counts in words.items():
-            rows += [(lang, 1, w.decode("utf-8", "replace"), n) for w, n in counts.items() if len(w) <= WORD_BYTES]
-        words.clear()
-        chars.clear()
-        kinds = (pa.string(), pa.int32(), pa.string(), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["lang", "kind", "key", "n"])
-
-    for whole in batches:
-        for batch in slices(whole, "text"):
-            for lang, text in zip(batch.column("lang").to_pylist(), byte_column(batch.column("text")), strict=True):
-                if not text or lang is None:
-                    continue
-                own = text.split()
-                words.setdefault(lang, Counter()).update(own)
-                h = chars.setdefault(lang, np.zeros(8, np.int64))
-                h[:7] += char_histogram(np.bincount(np.frombuffer(text, np.uint8), minlength=256)).astype(np.int64)
-                h[7] += len(own)
-            for counts in words.values():  # long words are no common words: let them go before they pile up
-                if len(counts) > HELD_KEYS:
-                    for w in [w for w in counts if len(w) > WORD_BYTES]:
-                        del counts[w]
-            if sum(map(len, words.values())) > 4 * HELD_KEYS or len(chars) > 10_000:
-                yield flush()
-    yield flush()
+def distance(p, q) -> float:
+    """Jensen-Shannon distance: the root of the divergence, 0..1."""
+    return max(0.0, divergence(p, q)) ** 0.5
+
+
+HISTOGRAM_SCHEMA = "lang string, kind int, key string, n long, likely boolean"
+
+
+def _histogram_partitions(word_share: float):
+    """(lang, kind, key, n, likely): kind 0 a character class, 1 a word, 2 the number of words. A word is likely to be
+    common if it has the share of the words it was counted among."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        held: dict[str, list] = {}  # lang -> tables of (key, n), the first of which is summed up
+        chars: dict[str, object] = {}  # lang -> class counts, then the number of words
+
+        def summed(lang):
+            held[lang] = [pa.concat_tables(held[lang]).group_by("key").aggregate([("n", "sum")]).rename_columns(["key", "n"]).combine_chunks()]
+            return held[lang][0]
+
+        def flush():
+            langs = sorted(chars)
+            h = np.array([chars[x] for x in langs], np.int64).reshape(-1, len(CLASSES) + 1)
+            a, k = np.nonzero(h)
+            names = [langs[x] for x in a]
+            keys = [CLASSES[x] if x < len(CLASSES) else "" for x in k]
+            yield batch(names, np.where(k < len(CLASSES), 0, 2), pa.array(keys, pa.string()), h[a, k], np.zeros(len(a), bool))
+            for lang in sorted(held):
+                for part in summed(lang).to_batches(max_chunksize=1 << 16):
+                    n = part.column("n").to_numpy()
+                    likely = n * (1 + 1e-9) >= word_share * chars[lang][-1]
+                    yield batch([lang] * len(n), np.ones(len(n)), part.column("key"), n, likely)
+            held.clear()
+            chars.clear()
+
+        def batch(langs, kind, key, n, likely):
+            arrays = [pa.array(langs, pa.string()), pa.array(kind.astype(np.int32)), key.cast(pa.string()), pa.array(n, pa.int64()), pa.array(likely)]
+            return pa.RecordBatch.from_arrays(arrays, names=["lang", "kind", "key", "n", "likely"])
+
+        rows = 0
+        for whole in batches:
+            for cut in slices(whole, "text"):
+                cut = cut.filter(pc.and_(pc.is_valid(cut.column("lang")), pc.fill_null(pc.greater(pc.binary_length(cut.column("text")), 0), False)))
+                codes = cut.column("lang").dictionary_encode()
+                place = codes.indices.to_numpy(zero_copy_only=False)
+                for code, lang in enumerate(codes.dictionary.to_pylist()):
+                    texts = cut.column("text").take(pa.array(np.flatnonzero(place == code)))
+                    words, distinct, _ = word_table(texts)
+                    counts = np.bincount(words, minlength=len(distinct))
+                    h = chars.setdefault(lang, np.zeros(len(CLASSES) + 1, np.int64))
+                    h[:-1] += char_histogram(np.bincount(np.concatenate([np.frombuffer(t, np.uint8) for t in byte_column(texts)]), minlength=256)).astype(np.int64)
+                    h[-1] += len(words)
+                    if len(distinct):
+                        held.setdefault(lang, []).append(pa.table({"key": distinct.cast(pa.large_string()), "n": counts.astype(np.int64)}))
+                        rows += len(distinct)
+                if rows > 2 * HELD_WORDS or len(chars) > 10_000:
+                    rows = sum(len(summed(lang)) for lang in held)
+                    if rows > HELD_WORDS or len(chars) > 10_000:
+                        yield from flush()
+                        rows = 0
+        yield from flush()
+
+    return run
 
 
 def _reference(rows):
@@ -168,26 +199,34 @@ def _reference(rows):
     return h, index, np.array(counts)
 
 
+def _common_words(partial: DataFrame) -> DataFrame:
+    """(lang, kind, key, n) of every word that is likely to be common in some task, summed over all tasks."""
+    likely = partial.where("kind = 1 and likely").select("lang", "key").distinct()
+    likely = materialise(likely, "likely-words")
+    size = likely.agg(F.sum(F.octet_length("key") + F.octet_length("lang") + 16)).first()[0] or 0
+    named = F.broadcast(likely) if size <= BROADCAST_BYTES else likely
+    return partial.where("kind = 1").join(named, ["lang", "key"], "left_semi").select("lang", "kind", "key", "n")
+
+
 def _gathered(docs: DataFrame, word_share: float, lang_share: float, others: bool) -> tuple[dict, DataFrame | None]:
     """References of the languages with ``lang_share`` of all words, and (lang, reference) of the others, if any."""
     ship_package(docs.sparkSession)
     rows = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    sums = rows.mapInArrow(_histogram_partitions, "lang string, kind int, key string, n long").groupBy("lang", "kind", "key").agg(F.sum("n").alias("n"))
-    sums = sums.persist()
-    try:
-        totals = sums.where("kind = 2").select("lang", F.col("n").alias("total"))
-        whole = totals.agg(F.sum("total")).first()[0] or 0
-        least = max(1.0, lang_share * whole)
-        large = totals.where(F.col("total") >= least)  # at most 1 / lang_share rows
-        common = (F.col("kind") != 1) | (F.col("n") >= word_share * F.col("total"))
-        kept = sums.join(F.broadcast(large), "lang").where(common).collect()
-        rest = totals.where((F.col("total") < least) & (F.col("total") >= REFERENCE_WORDS))
-        small = None
-        if others and not rest.isEmpty():
-            small = sums.join(rest, "lang").where(common).groupBy("lang").agg(F.to_json(F.collect_list(F.struct("kind", "key", "n"))).alias("reference"))
-            small = materialise(small, "references")
-    finally:
-        sums.unpersist()
+    partial = materialise(rows.mapInArrow(releasing(_histogram_partitions(word_share)), HISTOGRAM_SCHEMA), "histograms", compression="zstd")
+    whole = partial.where("kind <> 1").select("lang", "kind", "key", "n").unionByName(_common_words(partial))
+    sums = materialise(whole.groupBy("lang", "kind", "key").agg(F.sum("n").alias("n")), "histogram-sums")
+    discard(partial)
+    totals = sums.where("kind = 2").select("lang", F.col("n").alias("total"))
+    least = max(1.0, lang_share * (totals.agg(F.sum("total")).first()[0] or 0))
+    large = totals.where(F.col("total") >= least)  # at most 1 / lang_share rows
+    common = (F.col("kind") != 1) | (F.col("n") >= word_share * F.col("total"))
+    kept = sums.join(F.broadcast(large), "lang").where(common).collect()
+    rest = totals.where((F.col("total") < least) & (F.col("total") >= REFERENCE_WORDS))
+    small = None
+    if others and not rest.isEmpty():
+        small = sums.join(rest, "lang").where(common).groupBy("lang").agg(F.to_json(F.collect_list(F.struct("kind", "key", "n"))).alias("reference"))
+        small = materialise(small, "references")
+    discard(sums)
     found: dict = {}
     for r in kept:
         found.setdefault(r.lang, []).append((r.kind, r.key, r.n))
@@ -200,7 +239,7 @@ def language_references(docs: DataFrame, word_share: float = WORD_SHARE, lang_sh
 
 
 def _verdict(words: list[bytes], counts, lang: str | None, references: dict) -> tuple[float, float]:
-    """The character and word divergence from the language's reference; for a null language from the nearest."""
+    """The character and word distance from the language's reference; for a null language from the nearest."""
     import numpy as np
 
     best = None
@@ -209,23 +248,23 @@ def _verdict(words: list[bytes], counts, lang: str | None, references: dict) ->
             continue
         rest = len(index)
         own = np.bincount([index.get(w, rest) for w in words], minlength=rest + 1).astype(float)
-        pair = divergence(char_histogram(counts), h), divergence(own, shares)
+        pair = distance(char_histogram(counts), h), distance(own, shares)
         best = pair if best is None or sum(pair) < sum(best) else best
     return best or (0.0, 0.0)
 
 
 def judge_text(text: bytes | None, lang: str | None, references: dict) -> tuple:
-    """(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, char_divergence, word_divergence)."""
+    """(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, char_distance, word_distance)."""
     words, counts, base = base_features(text or b"")
     n = base[0]
     failed = n < MIN_WORDS or 100 * base[4] > MAX_REPEAT_PERCENT * n
     char, word = _verdict(words, counts, lang, references) if n >= MIN_WORDS else (0.0, 0.0)
-    fits = n < MIN_WORDS or (char <= CHAR_LIMIT[0] + CHAR_LIMIT[1] / n and word <= WORD_LIMIT[0] + WORD_LIMIT[1] / n)
+    fits = n < MIN_WORDS or (char**2 <= CHAR_LIMIT[0] + CHAR_LIMIT[1] / n and word**2 <= WORD_LIMIT[0] + WORD_LIMIT[1] / n)
     return (*base, failed, not failed and fits, char, word)
 
 
-COLUMNS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "char_divergence", "word_divergence")
-JUDGED_SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, char_divergence double, word_divergence double"
+COLUMNS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "char_distance", "word_distance")
+JUDGED_SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, char_distance double, word_distance double"
 
 
 def _judged(batch, references: dict) -> list[tuple]:
@@ -242,7 +281,7 @@ def _judged_rows(docs: DataFrame, lang_share: float, emit, schema) -> DataFrame:
                 yield emit(batch, _judged(batch, references))
 
     if small is None:
-        return docs.mapInArrow(run, schema)
+        return docs.mapInArrow(releasing(run), schema)
 
     def run_small(batches):
         import pyarrow as pa
@@ -266,11 +305,11 @@ def _judged_rows(docs: DataFrame, lang_share: float, emit, schema) -> DataFrame:
     far = docs.where(~here).select(F.col("lang").cast("string").alias("lang"), F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.lit(None).cast("string").alias("reference"))
     refs = small.select("lang", F.lit(None).cast(far.schema["row"].dataType).alias("row"), "reference")
     dealt = far.unionByName(refs).repartition("lang").sortWithinPartitions("lang", F.col("reference").isNull())
-    return docs.where(here).mapInArrow(run, schema).unionByName(dealt.mapInArrow(run_small, schema))
+    return docs.where(here).mapInArrow(releasing(run), schema).unionByName(dealt.mapInArrow(run_small, schema))
 
 
 def judge_documents(docs: DataFrame, lang_share: float = LANG_SHARE) -> DataFrame:
-    """The base figures, the divergences and the verdict of every document."""
+    """The base figures, the distances and the verdict of every document."""
 
     def emit(batch, verdicts):
         import pyarrow as pa

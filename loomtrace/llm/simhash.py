@@ -12,7 +12,8 @@ components of the links.
 Defined cases: a text without words, or null, has fingerprint zero and links like any other; fewer
 than four words are one shingle; rows with a null doc_id get a fingerprint and take their group from
 others, and a group of such rows alone has a null component; repeated doc_ids are rows like any
-others; an empty table gives no rows; extra columns are not read.
+others; a very long text is hashed shingle by shingle like any other; an empty table gives no rows; extra
+columns are not read by ``simhash_groups`` and are kept by ``drop_near_duplicates``.
 """
 
 from __future__ import annotations
@@ -22,8 +23,9 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomtrace.llm.tokens import byte_column, slices
+from loomtrace.llm.tokens import byte_column, releasing, slices
 from loomtrace.operators.graph import connected_components
+from loomtrace.operators.skew import join_heavy
 from loomtrace.runtime import discard, materialise, ship_package
 
 BITS = 64
@@ -32,6 +34,7 @@ SHINGLE = 4
 SEED = 42
 BUCKET_ROWS = 2048
 TARGET_OCCUPANCY = 4
+BROADCAST_ROWS = 200_000
 
 
 def fingerprint(words: list[bytes], shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -67,16 +70,16 @@ def _fingerprint_partitions(shingle: int, seed: int):
         for whole in batches:
             for batch in slices(whole, "text"):
                 prints = [_signed(fingerprint(t.lower().split() if t else [], shingle, seed)) for t in byte_column(batch.column("text"))]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints, pa.int64())], names=["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("digest"), pa.array(prints, pa.int64())], names=["doc_id", "digest", "fp"])
 
     return run
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed long) of every document."""
+    """doc_id, digest (a hash of the text) and fp (the fingerprint as a signed long) of every document."""
     ship_package(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_fingerprint_partitions(shingle, seed), "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("digest"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(releasing(_fingerprint_partitions(shingle, seed)), "doc_id long, digest long, fp long")
 
 
 def block_masks(blocks: int, radius: int = RADIUS, bits: int = BITS) -> list[int]:
@@ -185,25 +188,53 @@ def radius_links(prints: DataFrame, radius: int = RADIUS, blocks: int | None = N
     return dealt.mapInArrow(_links(radius), "src long, dst long").distinct()
 
 
-def simhash_groups(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id (the least doc_id of the group) per document."""
-    prints = materialise(fingerprints(docs, shingle, seed), "fingerprints")
-    least = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("doc")), "distinct-fingerprints")
+def _grouped(prints: DataFrame, radius: int) -> tuple[DataFrame, int]:
+    """(fp, component, component_id, n: its rows in ``prints``) of every distinct fingerprint; all rows of prints."""
+    least = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("doc"), F.count("*").alias("n")), "distinct-fingerprints")
     links = materialise(radius_links(least.select("fp"), radius), "links")
     groups = connected_components(links).withColumnRenamed("node", "fp")
-    named = least.join(groups, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    rep = named.groupBy("component").agg(F.min("doc").alias("component_id"))
-    # A group's members are few beside its documents: this maps fingerprints, and only the last join meets documents.
-    ids = materialise(named.join(rep, "component").select("fp", "component_id"), "fingerprint-groups")
-    discard(links)
-    return prints.join(ids, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """The rows whose doc_id is the least of its group; columns as they came.
-
-    Rows with a null doc_id have no identity to compare and stay; repeated doc_ids that lead their
-    group stay as they came."""
-    groups = simhash_groups(docs.where("doc_id is not null"), radius)
-    losers = materialise(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("lost")).distinct(), "lost")
-    return docs.join(losers, docs["doc_id"] == losers["lost"], "left_anti")
+    named = materialise(least.join(groups, "fp", "left").withColumn("component", F.coalesce("component", "fp")), "named-fingerprints")
+    rep = materialise(named.groupBy("component").agg(F.min("doc").alias("component_id"), F.count("*").alias("members")), "groups")
+    sums = named.agg(F.count("*").alias("n"), F.sum("n").alias("rows")).first()
+    out = join_heavy(named.drop("doc"), rep, ["component"], sums["n"], "members")
+    out = materialise(out, "fingerprint-groups")
+    discard(least, links, named, rep)
+    return out, sums["rows"] or 0
+
+
+def simhash_groups(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id (the least doc_id of the group) per document."""
+    prints = materialise(fingerprints(docs, shingle, seed).drop("digest"), "fingerprints")
+    ids, total = _grouped(prints, radius)
+    return join_heavy(prints, ids.drop("component"), ["fp"], total).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """One row of each group, of its least doc_id; columns as they came.
+
+    A row is known by its doc_id and a hash of its text, so texts of different groups under one doc_id are
+    judged apart. Of several texts of a group under its least doc_id the one of least hash stays, and of rows
+    with the same text one; rows with a null doc_id have no identity to compare and stay. The rows to drop are
+    broadcast if they are counted to be ``broadcast_rows`` at most, and met by a shuffle beyond."""
+    rows = docs.where("doc_id is not null")
+    prints = materialise(fingerprints(rows), "fingerprints")
+    ids, total = _grouped(prints, radius)
+    texts = prints.groupBy("doc_id", "digest", "fp").agg(F.count("*").alias("copies"))
+    texts = materialise(join_heavy(texts, ids, ["fp"], total), "near-duplicate-texts")
+    lead = texts.where("doc_id = component_id").groupBy("component").agg(F.min("digest").alias("lead"))
+    lead = materialise(lead, "leading-texts")
+    first = (F.col("doc_id") == F.col("component_id")) & (F.col("digest") == F.col("lead"))
+    judged = texts.join(lead, "component").where(~first | (F.col("copies") > 1))
+    judged = materialise(judged.select(F.col("doc_id").alias("lost_id"), F.col("digest").alias("lost_digest"), first.alias("leads")), "lost")
+    discard(prints, ids, texts, lead)
+    few = judged.count() <= broadcast_rows
+    held = F.broadcast(judged) if few else judged
+    same = (docs["doc_id"] == held["lost_id"]) & (F.xxhash64(docs["text"].cast("string")) == held["lost_digest"])
+    kept = docs.join(held, same, "left_anti")
+    repeated = judged.where("leads")
+    if repeated.isEmpty():
+        return kept
+    again = docs.join(F.broadcast(repeated) if few else repeated, same, "left_semi")
+    whole = F.struct(*[again[c] for c in docs.columns])
+    one = again.groupBy(again["doc_id"], F.xxhash64(again["text"].cast("string")).alias("_digest")).agg(F.min_by(whole, F.xxhash64(*[again[c] for c in docs.columns])).alias("_row"))
+    return kept.unionByName(one.select("_row.*"))

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomtrace.llm.tokens import END_ID, encoder, slices
+from loomtrace.llm.tokens import END_ID, encoder, releasing, slices
 from loomtrace.runtime import scratch_path, ship_package
 
 ROW_GROUP_BYTES = 32 << 20
@@ -71,7 +71,7 @@ def write_token_store(
     (
         rows.repartitionByRange(parts, *keys)
         .sortWithinPartitions(*keys)
-        .mapInArrow(_encode_partitions(tokenizer, end_id), STORE_SCHEMA)
+        .mapInArrow(releasing(_encode_partitions(tokenizer, end_id)), STORE_SCHEMA)
         .write.option("compression", "zstd")
         .option("parquet.writer.version", "v2")
         .option("parquet.block.size", row_group_bytes)

@@ -2,9 +2,12 @@
 
 The vocabulary folds case, drops white space and none of its pre-token patterns spans it, so the ids
 of a text are the ids of its chunks in order. A full stop or comma that ends a word and stands before
-white space is a pre-token of its own, and is cut off so that fewer chunks differ. Each worker process
-keeps the ids of the chunks it has met; only unseen chunks go through the library, joined into long
+white space is a pre-token of its own, and is cut off so that fewer chunks differ. A task keeps the ids
+of the chunks it has met, up to a bound; only unseen chunks go through the library, joined into long
 strings to spare calls.
+
+Worker processes outlive their tasks, so what a task remembers and frees goes back to the system when it
+ends (``releasing``): a long job's workers stay as small as a short one's.
 """
 
 from __future__ import annotations
@@ -12,7 +15,7 @@ from __future__ import annotations
 import os
 
 END_ID = 1
-CACHE_ENTRIES = 900_000
+CACHE_ENTRIES = 250_000  # of at most CACHE_CHUNK_BYTES each, beside the entries of one slice
 CACHE_CHUNK_BYTES = 64
 JOINED_CHUNKS = 512
 
@@ -70,6 +73,44 @@ def chunk_column(column):
 
 
 _encoders: dict[str, WordEncoder] = {}
+_caches: list[dict] = []
+
+
+def task_cache() -> dict:
+    """A dictionary that is emptied when a task of this worker process ends."""
+    _caches.append(cache := {})
+    return cache
+
+
+def trim(cache: dict) -> None:
+    """Empty a cache that has reached its bound."""
+    if len(cache) > CACHE_ENTRIES:
+        cache.clear()
+
+
+def release() -> None:
+    """Empty the task caches and give freed memory back to the system."""
+    import ctypes
+
+    import pyarrow as pa
+
+    for cache in _caches:
+        cache.clear()
+    pa.default_memory_pool().release_unused()
+    if give_back := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc only
+        give_back(0)
+
+
+def releasing(run):
+    """``run`` over a task's batches, and release() when they end."""
+
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return whole
 
 
 def default_tokenizer() -> str:
@@ -86,7 +127,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache: dict[bytes, bytes] = {}
+        self.cache: dict[bytes, bytes] = task_cache()
         vocabulary = self.tokenizer.get_vocab()
         self.ends_word = [False] * (max(vocabulary.values()) + 1)
         for token, k in vocabulary.items():
@@ -141,8 +182,7 @@ class WordEncoder:
 
         words, distinct, ends = word_table(chunk_column(column))
         cache = self.cache
-        if len(cache) > CACHE_ENTRIES:
-            cache.clear()
+        trim(cache)
         keys = split_bytes(distinct)
         found = list(map(cache.get, keys))
         if unseen := [k for k, v in zip(keys, found, strict=True) if v is None]:

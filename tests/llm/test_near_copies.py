@@ -152,3 +152,12 @@ def test_suffix_array():
         for letters in (1, 2, 60):
             s = [draw.randint(1, letters) for _ in range(n)]
             assert suffix_dedup.suffix_array(s).tolist() == sorted(range(n), key=lambda k: s[k:])
+
+
+def test_near_duplicates_are_dropped_by_row(spark):
+    a, b, z = "the cat sat on the mat and saw the dog run over a hill " * 3, "quite another text that is like none of the rest here " * 3, "a third text stands here and no one else has it at all " * 3
+    rows = [(1, a, "en", "s", 1), (5, a, "en", "s", 1), (5, b, "en", "s", 1), (9, a, "en", "s", 1), (7, z, "en", "s", 1), (7, z, "en", "s", 1), (8, z, "en", "s", 1), (None, z, "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for few in (200_000, 0):
+        kept = sorted(((r.doc_id, r.text) for r in simhash.drop_near_duplicates(docs, broadcast_rows=few).collect()), key=str)
+        assert kept == sorted([(1, a), (5, b), (7, z), (None, z)], key=str)
