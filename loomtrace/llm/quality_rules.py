@@ -1,11 +1,11 @@
 """Quality rules by distribution divergence.
 
-Two passes. The first gathers, over all documents and without a cap, each language's histogram of
-character classes and of its words; words with at least ``WORD_SHARE`` of a language's words are
-its common words (so at most 1 / WORD_SHARE). A task's histograms are written as they are; only words that
-have that share of some task's words can have it of all, so only those are summed. The references of
+Three passes over the texts, none of which moves them. A word that has ``WORD_SHARE`` of a language's words
+has that share of some stretch of them, wherever stretches are cut: the first pass names the words that do,
+and gathers the histograms of character classes; the second counts the named words over all documents. Those
+with the share of all the language's words are its common words (so at most 1 / WORD_SHARE). The references of
 languages with at least ``LANG_SHARE`` of all words are broadcast (at most 1 / LANG_SHARE); every other
-language's reference is sent to its documents by a shuffle of those documents only. The second pass compares
+language's reference is sent to its documents by a shuffle of those documents only. The third pass compares
 each document with its language's reference by the Jensen-Shannon distance (base 2, so 0..1).
 
 Length guards: below ``MIN_WORDS`` words the base rules decide alone, and both thresholds widen with
@@ -13,7 +13,7 @@ Length guards: below ``MIN_WORDS`` words the base rules decide alone, and both t
 too few to tell its common words: its documents are judged by the base rules alone.
 
 Defined cases: a null text has no words and fails the base rules; a document of null language is held
-against the nearest broadcast reference; a very long text is one row of one task's histogram;
+against the nearest broadcast reference; a very long text is counted like any other;
 an empty table gives no rows; repeated rows and doc_ids are judged one by one; extra columns are not
 read by ``judge_documents`` and are kept by ``keep_documents``.
 """
@@ -39,8 +39,9 @@ WORD_LIMIT = (0.06, 5.0)
 
 CLASSES = ("lower", "upper", "digit", "space", "punctuation", "symbol", "other")
 SYMBOLS = b"#*$%&|<>"
-HELD_WORDS = 300_000
-BROADCAST_BYTES = 16 << 20
+STRETCH_WORDS = 100_000
+HELD_ROWS = 400_000
+NAMED_BYTES = 8 << 20
 
 _tables = None
 
@@ -119,66 +120,100 @@ def distance(p, q) -> float:
     return max(0.0, divergence(p, q)) ** 0.5
 
 
-HISTOGRAM_SCHEMA = "lang string, kind int, key string, n long, likely boolean"
+HISTOGRAM_SCHEMA = "lang string, kind int, key string, n long"
 
 
-def _histogram_partitions(word_share: float):
-    """(lang, kind, key, n, likely): kind 0 a character class, 1 a word, 2 the number of words. A word is likely to be
-    common if it has the share of the words it was counted among."""
+def _rows(rows: list[tuple]):
+    import pyarrow as pa
+
+    kinds = (pa.string(), pa.int32(), pa.string(), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["lang", "kind", "key", "n"])
+
+
+def _by_language(batch):
+    """(lang, its texts, their distinct words, how often each stands there) of the rows with a language and a text."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    held = batch.filter(pc.and_(pc.is_valid(batch.column("lang")), pc.fill_null(pc.greater(pc.binary_length(batch.column("text")), 0), False)))
+    codes = held.column("lang").dictionary_encode()
+    place = codes.indices.to_numpy(zero_copy_only=False)
+    for code, lang in enumerate(codes.dictionary.to_pylist()):
+        texts = held.column("text").take(pa.array(np.flatnonzero(place == code)))
+        words, distinct, _ = word_table(texts)
+        yield lang, texts, distinct, np.bincount(words, minlength=len(distinct)).astype(np.int64)
+
+
+def _name_words(word_share: float):
+    """(lang, kind, key, n): kind 0 a character class, 1 a word with the share of a stretch (n is 0), 2 the number of words."""
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        held: dict[str, list] = {}  # lang -> tables of (key, n), the first of which is summed up
-        chars: dict[str, object] = {}  # lang -> class counts, then the number of words
-
-        def summed(lang):
-            held[lang] = [pa.concat_tables(held[lang]).group_by("key").aggregate([("n", "sum")]).rename_columns(["key", "n"]).combine_chunks()]
-            return held[lang][0]
-
-        def flush():
-            langs = sorted(chars)
-            h = np.array([chars[x] for x in langs], np.int64).reshape(-1, len(CLASSES) + 1)
-            a, k = np.nonzero(h)
-            names = [langs[x] for x in a]
-            keys = [CLASSES[x] if x < len(CLASSES) else "" for x in k]
-            yield batch(names, np.where(k < len(CLASSES), 0, 2), pa.array(keys, pa.string()), h[a, k], np.zeros(len(a), bool))
-            for lang in sorted(held):
-                for part in summed(lang).to_batches(max_chunksize=1 << 16):
-                    n = part.column("n").to_numpy()
-                    likely = n * (1 + 1e-9) >= word_share * chars[lang][-1]
-                    yield batch([lang] * len(n), np.ones(len(n)), part.column("key"), n, likely)
-            held.clear()
+        held: dict[str, list] = {}
+        size: dict[str, int] = {}
+        chars: dict[str, object] = {}
+        named: dict[str, set] = {}
+
+        def close(lang):
+            words = pa.concat_tables(held.pop(lang)).group_by("key").aggregate([("n", "sum")])
+            often = pc.greater_equal(words.column("n_sum"), word_share * size.pop(lang) * (1 - 1e-9))
+            named.setdefault(lang, set()).update(words.filter(often).column("key").to_pylist())
+
+        def found():
+            for lang in list(held):
+                close(lang)
+            rows = [(lang, 0, CLASSES[k], int(n)) for lang, h in chars.items() for k, n in enumerate(h[:-1]) if n]
+            rows += [(lang, 2, "", int(h[-1])) for lang, h in chars.items()]
+            rows += [(lang, 1, w, 0) for lang, words in named.items() for w in words]
             chars.clear()
+            named.clear()
+            return _rows(rows)
 
-        def batch(langs, kind, key, n, likely):
-            arrays = [pa.array(langs, pa.string()), pa.array(kind.astype(np.int32)), key.cast(pa.string()), pa.array(n, pa.int64()), pa.array(likely)]
-            return pa.RecordBatch.from_arrays(arrays, names=["lang", "kind", "key", "n", "likely"])
-
-        rows = 0
         for whole in batches:
-            for cut in slices(whole, "text"):
-                cut = cut.filter(pc.and_(pc.is_valid(cut.column("lang")), pc.fill_null(pc.greater(pc.binary_length(cut.column("text")), 0), False)))
-                codes = cut.column("lang").dictionary_encode()
-                place = codes.indices.to_numpy(zero_copy_only=False)
-                for code, lang in enumerate(codes.dictionary.to_pylist()):
-                    texts = cut.column("text").take(pa.array(np.flatnonzero(place == code)))
-                    words, distinct, _ = word_table(texts)
-                    counts = np.bincount(words, minlength=len(distinct))
+            for batch in slices(whole, "text"):
+                for lang, texts, distinct, counts in _by_language(batch):
                     h = chars.setdefault(lang, np.zeros(len(CLASSES) + 1, np.int64))
                     h[:-1] += char_histogram(np.bincount(np.concatenate([np.frombuffer(t, np.uint8) for t in byte_column(texts)]), minlength=256)).astype(np.int64)
-                    h[-1] += len(words)
+                    h[-1] += counts.sum()
                     if len(distinct):
-                        held.setdefault(lang, []).append(pa.table({"key": distinct.cast(pa.large_string()), "n": counts.astype(np.int64)}))
-                        rows += len(distinct)
-                if rows > 2 * HELD_WORDS or len(chars) > 10_000:
-                    rows = sum(len(summed(lang)) for lang in held)
-                    if rows > HELD_WORDS or len(chars) > 10_000:
-                        yield from flush()
-                        rows = 0
-        yield from flush()
+                        held.setdefault(lang, []).append(pa.table({"key": distinct.cast(pa.large_string()), "n": counts}))
+                        size[lang] = size.get(lang, 0) + int(counts.sum())
+                        if size[lang] >= STRETCH_WORDS:
+                            close(lang)
+                if sum(len(x) for own in held.values() for x in own) + sum(map(len, named.values())) > HELD_ROWS or len(chars) > 10_000:
+                    yield found()
+        yield found()
+
+    return run
+
+
+def _count_words(named: dict[str, list[str]] | None):
+    """(lang, 1, word, n) of the named words, or of every word."""
+
+    def run(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        wanted = {} if named is None else {lang: pa.array(words, pa.string()) for lang, words in named.items()}
+        sums: dict[tuple[str, str], int] = {}
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                for lang, _, distinct, counts in _by_language(batch):
+                    if named is not None:
+                        if lang not in wanted:
+                            continue
+                        at = pc.is_in(distinct, value_set=wanted[lang].cast(distinct.type))
+                        distinct, counts = distinct.filter(at), counts[at.to_numpy(zero_copy_only=False)]
+                    for w, n in zip(distinct.to_pylist(), counts.tolist(), strict=True):
+                        sums[lang, w] = sums.get((lang, w), 0) + n
+                if len(sums) > HELD_ROWS:
+                    yield _rows([(lang, 1, w, n) for (lang, w), n in sums.items()])
+                    sums.clear()
+        yield _rows([(lang, 1, w, n) for (lang, w), n in sums.items()])
 
     return run
 
@@ -199,23 +234,26 @@ def _reference(rows):
     return h, index, np.array(counts)
 
 
-def _common_words(partial: DataFrame) -> DataFrame:
-    """(lang, kind, key, n) of every word that is likely to be common in some task, summed over all tasks."""
-    likely = partial.where("kind = 1 and likely").select("lang", "key").distinct()
-    likely = materialise(likely, "likely-words")
-    size = likely.agg(F.sum(F.octet_length("key") + F.octet_length("lang") + 16)).first()[0] or 0
-    named = F.broadcast(likely) if size <= BROADCAST_BYTES else likely
-    return partial.where("kind = 1").join(named, ["lang", "key"], "left_semi").select("lang", "kind", "key", "n")
+def _histograms(rows: DataFrame, word_share: float, named_bytes: int) -> DataFrame:
+    """(lang, kind, key, n) over all rows: kind 0 a character class, 1 a word that may be common, 2 the number of words."""
+    first = materialise(rows.mapInArrow(releasing(_name_words(word_share)), HISTOGRAM_SCHEMA), "named-words")
+    words = materialise(first.where("kind = 1").select("lang", "key").distinct(), "distinct-named-words")
+    size = words.agg(F.sum(F.octet_length("key") + F.octet_length("lang") + 16)).first()[0] or 0
+    named: dict[str, list[str]] | None = None  # counted to be few, they go to every task; beyond, all words are counted by a shuffle
+    if size <= named_bytes:
+        named = {}
+        for r in words.collect():
+            named.setdefault(r.lang, []).append(r.key)
+    counted = rows.mapInArrow(releasing(_count_words(named)), HISTOGRAM_SCHEMA)
+    whole = first.where("kind <> 1").unionByName(counted).groupBy("lang", "kind", "key").agg(F.sum("n").alias("n"))
+    return materialise(whole, "histograms")
 
 
-def _gathered(docs: DataFrame, word_share: float, lang_share: float, others: bool) -> tuple[dict, DataFrame | None]:
+def _gathered(docs: DataFrame, word_share: float, lang_share: float, others: bool, named_bytes: int = NAMED_BYTES) -> tuple[dict, DataFrame | None]:
     """References of the languages with ``lang_share`` of all words, and (lang, reference) of the others, if any."""
     ship_package(docs.sparkSession)
     rows = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    partial = materialise(rows.mapInArrow(releasing(_histogram_partitions(word_share)), HISTOGRAM_SCHEMA), "histograms", compression="zstd")
-    whole = partial.where("kind <> 1").select("lang", "kind", "key", "n").unionByName(_common_words(partial))
-    sums = materialise(whole.groupBy("lang", "kind", "key").agg(F.sum("n").alias("n")), "histogram-sums")
-    discard(partial)
+    sums = _histograms(rows, word_share, named_bytes)
     totals = sums.where("kind = 2").select("lang", F.col("n").alias("total"))
     least = max(1.0, lang_share * (totals.agg(F.sum("total")).first()[0] or 0))
     large = totals.where(F.col("total") >= least)  # at most 1 / lang_share rows

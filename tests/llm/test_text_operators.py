@@ -420,3 +420,46 @@ def test_decontamination_odd_and_empty(spark):
     assert decontamination.find_leaks(no_docs(spark), bench).count() == 0
     assert decontamination.find_leaks(odd_docs(spark), bench.limit(0)).count() == 0
     assert decontamination.drop_contaminated(docs_of(spark, [ITEMS[1][1], "clean"]), bench).count() == 1
+
+
+def test_references_of_named_words_and_of_all(spark):
+    draw = random.Random(6)
+    odd = ["привет" * 2, "длинноеслово", "汉字汉字汉字", "x" * 70, *"abcdefgh"]
+    texts = [" ".join(draw.choices(odd, range(1, len(odd) + 1), k=400)) + " " + " ".join(f"r{draw.randrange(10**6)}" for _ in range(300)) for _ in range(30)]
+    docs = docs_of(spark, texts, "ru").repartition(5)
+    counts = Counter(w for t in texts for w in t.split())
+    want = {w.encode() for w, n in counts.items() if n >= quality_rules.WORD_SHARE * sum(counts.values())}
+    assert {w.encode() for w in odd} <= want
+    for room in (quality_rules.NAMED_BYTES, 0):
+        found, _ = quality_rules._gathered(docs, quality_rules.WORD_SHARE, quality_rules.LANG_SHARE, False, room)
+        h, index, sums = found["ru"]
+        assert set(index) == want and all(sums[k] == counts[w.decode()] for w, k in index.items()) and sums.sum() == sum(counts.values())
+        assert h.sum() == sum(map(len, texts))
+
+
+def test_verdicts_equal_brute_force(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    rows = docs.collect()
+    kind = lambda c: 0 if "a" <= c <= "z" else 1 if "A" <= c <= "Z" else 2 if "0" <= c <= "9" else 3 if c in " \t\n\v\f\r" else 4 if c in ".,:;!?'\"()-" else 5 if c < "\x80" else 6
+    words, chars = defaultdict(Counter), defaultdict(Counter)
+    for r in rows:
+        words[r.lang].update(WORD.findall(r.text))
+        chars[r.lang].update(map(kind, r.text))
+    common = {g: {w for w, n in c.items() if n >= 0.002 * sum(c.values())} for g, c in words.items()}
+
+    def shannon(p, q):
+        keys, a, b = set(p) | set(q), sum(p.values()), sum(q.values())
+        m = {k: (p[k] / a + q[k] / b) / 2 for k in keys}
+        return math.sqrt(max(0.0, sum(x[k] / s * math.log2(x[k] / s / m[k]) / 2 for x, s in ((p, a), (q, b)) for k in keys if x[k])))
+
+    got = {r.doc_id: r for r in quality_rules.judge_documents(docs).collect()}
+    for r in rows:
+        own, g = WORD.findall(r.text), got[r.doc_id]
+        if len(own) < 50:
+            assert not g.kept
+            continue
+        bag = lambda c: Counter({w if w in common[r.lang] else "": 0 for w in c}) + sum((Counter({w if w in common[r.lang] else "": n}) for w, n in c.items()), Counter())  # noqa: B023, E731
+        char, word = shannon(Counter(map(kind, r.text)), chars[r.lang]), shannon(bag(Counter(own)), bag(words[r.lang]))
+        assert g.char_distance == pytest.approx(char, abs=1e-6) and g.word_distance == pytest.approx(word, abs=1e-6)
+        fits = char**2 <= 0.03 + 3.5 / len(own) and word**2 <= 0.06 + 5 / len(own)
+        assert g.kept == (fits and not slow_base(r.text)[5])
