@@ -135,3 +135,68 @@ def test_plan_uses_up_the_histogram():
         # Volume and the number of pieces over half a sequence bound any packing from below.
         least = max(-(-sum(n * c for n, c in histogram.items()) // 100), sum(c for n, c in histogram.items() if n > 50))
         assert used <= 11 / 9 * least + 1
+
+
+def best_fit_alone(histogram, capacity):
+    """Sequences of best-fit decreasing, one piece at a time."""
+    rooms = []
+    for n in sorted((n for n, c in histogram.items() for _ in range(c)), reverse=True):
+        at = min((r for r in rooms if r >= n), default=None)
+        if at is None:
+            rooms.append(capacity - n)
+        else:
+            rooms.remove(at)
+            rooms.append(at - n)
+    return len(rooms)
+
+
+def test_most_pieces_come_from_fitted_patterns(spark):
+    rows = packing.pack_documents(spark.read.parquet(f"{MEDIUM}/documents.parquet"), PATH).collect()
+    histogram = defaultdict(int)
+    for r in rows:
+        histogram[r.length] += 1
+    plan, left = packing.fitted_patterns(dict(histogram))
+    assert sum(left.values()) < 0.3 * len(rows)
+    assert all(2 <= len(p) <= packing.PIECES or p == (4096,) for p, _ in plan) and sum(len(p) * c for p, c in plan) + sum(left.values()) == len(rows)
+    assert sum(c for _, c in packing.plan_sequences(dict(histogram))) == -(-sum(n * c for n, c in histogram.items()) // 4096)
+
+
+def test_the_fit_beats_best_fit():
+    histogram = {48: 100, 32: 100, 21: 90, 11: 100, 20: 100}  # 48+32+20 and 48+21+20+11 fill; best fit pairs the 48s first
+    used = sum(c for _, c in packing.plan_sequences(histogram, 100))
+    assert used <= best_fit_alone(histogram, 100)
+    draw, fitted, plain = random.Random(4), 0, 0
+    for _ in range(8):
+        histogram = {draw.randint(1, 100): draw.randint(1, 200) for _ in range(30)}
+        fitted += sum(c for _, c in packing.plan_sequences(histogram, 100))
+        plain += best_fit_alone(histogram, 100)
+    assert fitted < plain
+
+
+def test_the_fit_is_of_least_squares():
+    lengths, counts = [30, 40, 60, 70], np.array([20.0, 15.0, 15.0, 12.0])
+    patterns = packing.enumerate_patterns(lengths, counts, 100)
+    assert set(patterns) >= {(3, 0), (2, 1)} and all(sum(lengths[i] for i in p) == 100 for p in patterns)
+    weights = np.array(lengths) / 100
+    x, left = packing.fit_patterns(patterns, counts, weights, float((weights * counts).sum()), np.zeros(len(patterns)), steps=3000, settled=0.0)
+    used = np.zeros((4, len(patterns)))
+    for j, p in enumerate(patterns):
+        for i in p:
+            used[i, j] += 1
+    assert np.allclose(left, counts - used @ x) and (x >= 0).all()
+    slope = used.T @ (weights * left) + 0.1 * ((weights * counts).sum() - x.sum())  # optimal: none to gain, none to lose
+    assert (slope < 1e-6).all() and np.allclose(slope * x, 0, atol=1e-5)
+
+
+def test_pricing_finds_the_best_pattern():
+    from itertools import combinations_with_replacement
+
+    draw, lengths = random.Random(3), [5, 9, 14, 22, 30]
+    gains = np.array([draw.uniform(-1, 3) for _ in lengths])
+    found = packing.price_patterns(lengths, gains, 50, 4, 12, 2.0)
+    value = lambda p: sum(gains[i] for i in p) - 2.0 * (50 - sum(lengths[i] for i in p)) / 50
+    for i in range(len(lengths)):
+        every = [p for k in range(4) for p in ((i, *q) for q in combinations_with_replacement(range(5), k)) if 38 <= sum(lengths[x] for x in p) <= 50]
+        top = max(map(value, every), default=-1)
+        if top > 1e-9:
+            assert any(i in p and abs(value(p) - top) < 1e-9 for p in found)
