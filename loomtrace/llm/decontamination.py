@@ -1,25 +1,28 @@
 """Benchmark decontamination over canonical templates.
 
 Numbers, units and names become typed placeholders (runs of name words become one), other words are
-lower-cased and stripped of punctuation. Windows of ``WINDOW`` template tokens of the benchmark are
-hash-joined with those of every document; a hit counts within the maximal stretches of its alignment whose
-slots are consistent, that is, one benchmark value always stands for one document value. A pair is reported
-when such stretches cover ``SPAN`` tokens of the item, or all of a shorter one: a contradictory slot parts
-two stretches and takes nothing from either.
+lower-cased and stripped of punctuation. A name is a word with a capital that does not open a sentence, unless
+most words of the sentence have one: headings and texts in capitals hold words. Windows of ``WINDOW`` template
+tokens of the benchmark are hash-joined with those of every document; a hit counts within the maximal stretches
+of its alignment whose slots are consistent, that is, one benchmark value always stands for one document value.
+A contradictory slot parts two stretches and takes nothing from either.
+
+Windows of ``WINDOW`` words, without regard to case and outer punctuation, are joined too. They find verbatim
+copies where template tokens say little (a window with fewer than ``LITERALS`` tokens that are no placeholders
+is no template window) and where case makes other names on the two sides. A pair is reported when both kinds of
+hits together cover ``SPAN`` tokens of the item, or all of a shorter one.
 
 The benchmark side of the hash join is broadcast in blocks of at most ``BLOCK_CHARS`` characters: one
 block for common benchmarks, and one more pass over the documents for each further block.
 
-A window with fewer than ``LITERALS`` tokens that are no placeholders (fewer for shorter items) says little
-as a template: such a window is joined by a hash of its words, so verbatim copies of dense items are found,
-and a template hit is extended over the dense tokens beside it.
-
-Items of up to ``SPAN`` tokens are also searched word by word, without regard to case and outer punctuation:
-what stands before a copy decides whether its first word reads as a name, and may join it to one.
+Items of up to ``SPAN`` tokens are also searched whole, word by word: what stands before a copy decides whether
+its first word reads as a name, and may join it to one.
 
-Defined cases: null texts have no windows; items under ``LEAST`` tokens have no template and are found
-verbatim only, and those under ``LEAST_WORDS`` words are too short to tell and match nothing; rows with a null doc_id can match; repeated rows match one by one; extra columns are not read by ``find_leaks``
-and are kept by ``drop_contaminated``.
+Defined cases: null texts have no windows; a very long text is one row of its task and is searched whole; items
+under ``LEAST`` tokens have no template and are found verbatim only, and those under ``LEAST_WORDS`` words are too
+short to tell and match nothing; an empty benchmark or table gives no rows, and drops none; rows with a null
+doc_id can match; repeated rows match one by one; extra columns are not read by ``find_leaks`` and are kept by
+``drop_contaminated``.
 """
 
 from __future__ import annotations
@@ -38,6 +41,7 @@ SPAN = 10
 LEAST = 5
 LITERALS = 5
 LEAST_WORDS = 3
+CAPITALS = 4  # words with a capital that a sentence in capitals has at least
 BLOCK_CHARS = 8_000_000
 
 #: Words that stand for a unit of measure or money.
@@ -80,9 +84,7 @@ def _chunk(chunk: bytes) -> int:
 
 
 def templates(texts: list[bytes | None]):
-    """Template tokens of all texts: (hash, hash of the words, kind, owner, first word, last word + 1).
-
-    Then the words, their hashes and owners."""
+    """Template tokens of all texts: (hash, kind, owner, first word, last word + 1); then the words, their hashes and owners."""
     import numpy as np
 
     own = [t.split() if t else [] for t in texts]
@@ -101,19 +103,19 @@ def templates(texts: list[bytes | None]):
     opens = np.ones(n, bool)
     opens[1:] = ((flags[:-1] & 2) > 0) | (owner[1:] != owner[:-1])
     kind = flags >> 2
-    kind[((flags & 1) > 0) & ~opens & (kind == LITERAL)] = NAME
+    capital, sentence = (flags & 1) > 0, np.cumsum(opens) - 1
+    many = np.bincount(sentence, capital, minlength=1)
+    shouted = (many >= CAPITALS) & (2 * many > np.bincount(sentence, (kind == LITERAL), minlength=1))
+    kind[capital & ~opens & (kind == LITERAL) & ~shouted[sentence]] = NAME
     joined = np.zeros(n, bool)
     joined[1:] = (kind[1:] == NAME) & (kind[:-1] == NAME) & ~opens[1:]
     heads = np.flatnonzero(~joined)
     digests = packed & ~np.uint64(_FLAGS)
-    kind, raw = kind[heads], digests[heads]
+    kind = kind[heads]
     marks = np.array([0, *map(_digest, ("<number>", "<unit>", "<quantity>", "<name>"))], np.uint64)
-    hashes = np.where(kind == LITERAL, raw, marks[kind])
-    later = np.flatnonzero(joined)
-    run = np.searchsorted(heads, later, "right") - 1
-    np.add.at(raw, run, digests[later] * (2 * (later - heads[run]) + 1).astype(np.uint64))
+    hashes = np.where(kind == LITERAL, digests[heads], marks[kind])
     ends = np.append(heads[1:], n)
-    return hashes, raw, kind, owner[heads], heads, ends, [w for x in own for w in x], digests, owner
+    return hashes, kind, owner[heads], heads, ends, [w for x in own for w in x], digests, owner
 
 
 def _mixed(hashes, at, size: int):
@@ -128,18 +130,16 @@ def _mixed(hashes, at, size: int):
     return out
 
 
-def window_hashes(hashes, raw, kind, owner, size: int, literals: int):
-    """(starts, hashes) of the windows with enough literals, by template, and of all others, by their words."""
+def window_hashes(hashes, kind, owner, size: int, literals: int):
+    """(starts, hashes) of the windows within one text with enough literals."""
     import numpy as np
 
     n = len(hashes) - size + 1
     if n <= 0:
-        return [(np.zeros(0, np.int64), np.zeros(0, np.uint64))] * 2
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     plain = np.concatenate([[0], np.cumsum(kind == LITERAL)])
-    whole = owner[:n] == owner[size - 1 :]
-    open_ = plain[size : size + n] - plain[:n] >= literals
-    valid, dense = np.flatnonzero(whole & open_), np.flatnonzero(whole & ~open_)
-    return [(valid, _mixed(hashes, n, size)[valid]), (dense, _mixed(raw, dense, size))]
+    valid = np.flatnonzero((owner[:n] == owner[size - 1 :]) & (plain[size : size + n] - plain[:n] >= literals))
+    return valid, _mixed(hashes, n, size)[valid]
 
 
 class _Places:
@@ -209,7 +209,7 @@ class BenchmarkIndex:
         import numpy as np
 
         self.ids = [i for i, _ in items]
-        hashes, raw, kind, owner, heads, ends, words, digests, word_owner = templates([None if t is None else t.encode() for _, t in items])
+        hashes, kind, owner, heads, ends, words, digests, word_owner = templates([None if t is None else t.encode() for _, t in items])
         self.sizes = np.bincount(owner, minlength=len(items)) if len(items) else np.zeros(0, np.int64)
         starts = np.cumsum(self.sizes) - self.sizes
         self.needed = np.minimum(span, self.sizes)
@@ -218,39 +218,40 @@ class BenchmarkIndex:
             for s, n in zip(starts.tolist(), self.sizes.tolist(), strict=True)
         ]
         self.hashes = np.split(hashes, starts[1:])
-        tables: dict[int, list[dict]] = defaultdict(lambda: [defaultdict(list), defaultdict(list)])
-        for item, (s, n) in enumerate(zip(starts.tolist(), self.sizes.tolist(), strict=True)):
-            if n < LEAST:
-                continue
-            size = min(window, n)
-            part = slice(s, s + n)
-            kinds = window_hashes(hashes[part], raw[part], kind[part], owner[part], size, min(LITERALS, size - 1))
-            for table, (at, found) in zip(tables[size], kinds, strict=True):
-                for place, key in zip(at.tolist(), found.tolist(), strict=True):
-                    table[key].append((item, place))
-        self.tables = [(size, [_Places(t) for t in pair]) for size, pair in sorted(tables.items())]
-        self.digests: dict[int, object] = {}
-        short: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
         bounds = np.searchsorted(word_owner, np.arange(len(items) + 1)).tolist()
-        for item in np.flatnonzero(self.sizes <= span).tolist():
+        tokens = np.searchsorted(heads, np.arange(len(words)), "right") - 1  # of every word
+        self.tokens = [tokens[a:b] - s for a, b, s in zip(bounds[:-1], bounds[1:], starts.tolist(), strict=True)]
+        open_: dict[int, dict[int, list]] = defaultdict(lambda: defaultdict(list))
+        spoken: dict[int, dict[int, list]] = defaultdict(lambda: defaultdict(list))
+        short: dict[int, dict[int, list]] = defaultdict(lambda: defaultdict(list))
+        self.digests: dict[int, object] = {}
+        for item, (s, n) in enumerate(zip(starts.tolist(), self.sizes.tolist(), strict=True)):
             own = digests[bounds[item] : bounds[item + 1]]
-            if len(own) >= LEAST_WORDS:
+            if n >= LEAST:
+                size = min(window, n)
+                part = slice(s, s + n)
+                for place, key in zip(*(x.tolist() for x in window_hashes(hashes[part], kind[part], owner[part], size, min(LITERALS, size - 1))), strict=True):
+                    open_[size][key].append((item, place))
+                for place, key in enumerate(_mixed(own, len(own) - size + 1, size).tolist()):
+                    spoken[size][key].append((item, place))
+            if n <= span and len(own) >= LEAST_WORDS:
                 self.digests[item] = own
                 size = min(window, len(own))
                 short[size][int(_mixed(own, 1, size)[0])].append(item)
+        self.open = [(size, _Places(t)) for size, t in sorted(open_.items())]
+        self.spoken = [(size, _Places(t)) for size, t in sorted(spoken.items())]
         self.short = [(size, _Places(t)) for size, t in sorted(short.items())]
 
     def hits(self, texts: list[bytes | None]) -> list[tuple]:
         """(text index, item index, n_windows, covered tokens, slots) of every reported pair."""
         import numpy as np
 
-        hashes, raw, kind, owner, heads, ends, words, digests, word_owner = templates(texts)
+        hashes, kind, owner, heads, ends, words, digests, word_owner = templates(texts)
         runs: dict[tuple[int, int, int], list[tuple[int, int]]] = defaultdict(list)
-        for size, tables in self.tables:
-            for table, (at, found) in zip(tables, window_hashes(hashes, raw, kind, owner, size, min(LITERALS, size - 1)), strict=True):
-                for t, places in table.find(at, found):
-                    for item, place in places:
-                        runs[(int(owner[t]), item, t - place)].append((place, place + size))
+        for size, table in self.open:
+            for t, places in table.find(*window_hashes(hashes, kind, owner, size, min(LITERALS, size - 1))):
+                for item, place in places:
+                    runs[(int(owner[t]), item, t - place)].append((place, place + size))
         covered: dict[tuple[int, int], set[int]] = defaultdict(set)
         windows: dict[tuple[int, int], int] = defaultdict(int)
         slots: dict[tuple[int, int], set[int]] = defaultdict(set)
@@ -265,9 +266,27 @@ class BenchmarkIndex:
             covered[(doc, item)] |= own
             windows[(doc, item)] += held
             slots[(doc, item)] |= own & filled.keys()
-        for size, table in self.short:
+        mixed: dict[int, object] = {}
+
+        def at_words(table, size):
             n = max(0, len(digests) - size + 1)
-            for t, items in table.find(np.arange(n), _mixed(digests, n, size)):
+            if size not in mixed:
+                mixed[size] = _mixed(digests, n, size)
+            return table.find(np.arange(n), mixed[size])
+
+        alike: dict[tuple[int, int], set[tuple[int, int]]] = defaultdict(set)
+        for size, table in self.spoken:
+            for t, places in at_words(table, size):
+                if word_owner[t] == word_owner[t + size - 1]:
+                    for item, place in places:
+                        alike[(int(word_owner[t]), item)].add((place, place + size))
+        for (doc, item), parts in alike.items():
+            own = {int(p) for a, b in parts for p in self.tokens[item][a:b]}
+            windows[(doc, item)] = max(windows[(doc, item)], len(parts))
+            covered[(doc, item)] |= own
+            slots[(doc, item)] |= {p for p in own if self.values[item][p] is not None}
+        for size, table in self.short:
+            for t, items in at_words(table, size):
                 for item in items:
                     own, doc = self.digests[item], int(word_owner[t])
                     if np.array_equal(digests[t : t + len(own)], own) and word_owner[t + len(own) - 1] == doc:

@@ -463,3 +463,55 @@ def test_verdicts_equal_brute_force(spark):
         assert g.char_distance == pytest.approx(char, abs=1e-6) and g.word_distance == pytest.approx(word, abs=1e-6)
         fits = char**2 <= 0.03 + 3.5 / len(own) and word**2 <= 0.06 + 5 / len(own)
         assert g.kept == (fits and not slow_base(r.text)[5])
+
+
+def test_leaks_exactly(spark):
+    """What ``test_leaks`` leaves open: case does not hide a copy, and a slot that disagrees parts two stretches."""
+    noise = "some other words that say nothing of note at all, really. "
+    texts = [
+        noise + "A train leaves the old station at noon and travels 75 km in 2 hours while Bob counts 99 trees along the line.",
+        noise + ITEMS[1][1].upper().replace(" ", "\n") + noise,
+        noise + ITEMS[1][1].title() + noise,
+        noise + ITEMS[0][1].upper(),
+        noise + "A Train Leaves The Old Station At Noon And Travels 75 Miles In 2 Hours While Bob Counts 75 Trees Along The Line.",
+        noise + ITEMS[4][1].upper(),
+        noise + " ".join(w.upper() for w in reversed(ITEMS[1][1].split())),
+    ]
+    assert leaks(spark, texts) == {(0, 1), (1, 2), (2, 2), (3, 1), (4, 1), (5, 5)}
+
+
+def test_recall_of_generated_variants(spark):
+    """Items with numbers, units and names, re-parameterised and set in other case, between other sentences."""
+    draw = random.Random(12)
+    names, places, things = ["Alice", "Bob Stone", "Maria", "Omar Haddad", "Chen"], ["Paris", "the old mill", "New Delhi", "the harbour"], ["apples", "books", "marbles", "tickets", "coins"]
+    shapes = [
+        "{n} buys {a} {t} for {b} dollars at {p} and gives {c} of them to a friend, how many does {n} have left at the end of the day?",
+        "A tank near {p} holds {a} litres of water and loses {b} litres every hour, so after how many hours will it be empty if {n} adds nothing?",
+        "If {n} walks {a} km in {b} hours and then rests, how far from {p} is the walker once {c} more hours have gone by at that speed?",
+        "In a jar there are {a} red and {b} blue {t}; {n} draws {c} at random, what is the chance that all of them have the same colour?",
+    ]
+    fill = lambda s: s.format(n=draw.choice(names), p=draw.choice(places), t=draw.choice(things), a=draw.randint(2, 99), b=draw.randint(2, 99), c=draw.randint(2, 99))
+    # One item a shape: what differs in a variant is its slots, so any item of the shape may be reported.
+    items = [(k, fill(s)) for k, s in enumerate(shapes)]
+    noise = "some other words that say nothing of note at all, really. "
+    made = {
+        "slots": [(k, fill(s)) for k, s in enumerate(shapes) for _ in range(10)],
+        "verbatim": items,
+        "upper": [(k, t.upper()) for k, t in items],
+        "title": [(k, t.title()) for k, t in items],
+        "lower": [(k, t.lower()) for k, t in items],
+        "wrapped": [(k, t.replace(" ", "\n  ")) for k, t in items],
+        "upper slots": [(k, fill(s).upper()) for k, s in enumerate(shapes) for _ in range(10)],
+        "one word": [(k, " ".join("quite" if x == draw.randrange(8, 16) else w for x, w in enumerate(t.split()))) for k, t in items for _ in range(10)],
+    }
+    texts, want = [], []
+    for kind, rows in made.items():
+        for k, t in rows:
+            want.append((len(texts), k, kind))
+            texts.append(noise + t + " " + noise)
+    got = leaks(spark, texts, items)
+    for kind in made:
+        own = [(d, k) for d, k, x in want if x == kind]
+        assert sum(p in got for p in own) >= 0.9 * len(own), kind
+    assert all(any((d, k) == (x, y) for x, y, _ in want) for d, k in got)
+    assert not leaks(spark, [noise * 20, "A tank is a vehicle of war.", "How many hours are there in a day at the end of the year?"], items)
