@@ -15,7 +15,7 @@ from __future__ import annotations
 import os
 
 END_ID = 1
-CACHE_ENTRIES = 250_000  # of at most CACHE_CHUNK_BYTES each, beside the entries of one slice
+CACHE_ENTRIES = 500_000  # of at most CACHE_CHUNK_BYTES each, beside the entries of one slice
 CACHE_CHUNK_BYTES = 64
 JOINED_CHUNKS = 512
 
