@@ -127,13 +127,10 @@ def best_matching(overlaps: DataFrame) -> DataFrame:
 def interval_iou(spans: DataFrame, step: float = 0.1) -> DataFrame:
     """(clip_id, iou) of spans (clip_id, side 'gt' or 'pred', a, b) on a grid of seconds, ends included; a clip
     without spans on either side has no row here and counts as 1; a clip that ends at 0 counts as 0."""
-    top = spans.groupBy("clip_id").agg(F.max("b").alias("top"), F.collect_list(F.when(F.col("side") == "gt", F.struct("a", "b"))).alias("g"), F.collect_list(F.when(F.col("side") == "pred", F.struct("a", "b"))).alias("p"))
-    ticks = top.withColumn("t", F.transform(F.sequence(F.lit(0), F.ceil(F.col("top") / step).cast("int")), lambda i: i * F.lit(step)))
-
-    def inside(name: str):
-        return lambda t: F.exists(name, lambda s: (t >= s["a"]) & (t <= s["b"]))
-
-    ticks = ticks.withColumn("gi", F.transform("t", inside("g"))).withColumn("pi", F.transform("t", inside("p")))
-    both = F.size(F.filter(F.arrays_zip("gi", "pi"), lambda x: x["gi"] & x["pi"]))
-    some = F.size(F.filter(F.arrays_zip("gi", "pi"), lambda x: x["gi"] | x["pi"]))
-    return ticks.select("clip_id", F.round(F.when((F.col("top") > 0) & (some > 0), both / some).otherwise(0.0), 6).alias("iou"))
+    tops = spans.groupBy("clip_id").agg(F.max("b").alias("top"))
+    near = F.sequence(F.greatest(F.floor(F.col("a") / step) - 1, F.lit(0)), F.greatest(F.floor(F.col("b") / step) + 1, F.lit(0)))
+    ticks = spans.select("clip_id", "side", "a", "b").distinct().withColumn("i", F.explode(near))
+    ticks = ticks.where((F.col("i") * F.lit(step)).between(F.col("a"), F.col("b"))).groupBy("clip_id", "i").agg(F.countDistinct("side").alias("sides"))
+    sums = ticks.groupBy("clip_id").agg(F.count_if(F.col("sides") == 2).alias("both"), F.count("*").alias("some"))
+    iou = F.when(F.col("top") > 0, F.col("both") / F.col("some"))
+    return tops.join(sums, "clip_id", "left").select("clip_id", F.round(F.coalesce(iou, F.lit(0.0)), 6).alias("iou"))

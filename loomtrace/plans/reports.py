@@ -66,14 +66,14 @@ def viz_boxes(spark, sf_dir):
     )
 
 
-@query(f"""WITH {PRESENCE_SQL} SELECT clip_id, 'clip: ' || clip_id || chr(10) || 'label: crime' || chr(10) || 'segments:' || chr(10) ||
+@query(f"""WITH {PRESENCE_SQL} SELECT shot AS clip_id, 'clip: ' || shot || chr(10) || 'label: crime' || chr(10) || 'segments:' || chr(10) ||
   string_agg(printf('- %.2fs-%.2fs people=', a, b) || CASE WHEN p1 = p2 THEN CAST(p1 AS VARCHAR) ELSE least(p1, p2) || ', ' || greatest(p1, p2) END, chr(10) ORDER BY scene_id) AS body FROM model GROUP BY 1""")
 def viz_scene_text(spark, sf_dir):
     """A clip's scene as the text panel of a viewer."""
     people = F.array_join(F.array_sort(F.array_distinct(F.array("p1", "p2"))), ", ")
     line = F.format_string("- %.2fs-%.2fs people=%s", "a", "b", people)
     lines = F.array_sort(F.collect_list(F.struct("scene_id", line.alias("t"))))
-    rows = model_events(spark, sf_dir).groupBy("clip_id").agg(F.array_join(F.transform(lines, lambda x: x["t"]), "\n").alias("t"))
+    rows = model_events(spark, sf_dir).groupBy(F.col("shot").alias("clip_id")).agg(F.array_join(F.transform(lines, lambda x: x["t"]), "\n").alias("t"))
     return rows.select("clip_id", F.concat(F.lit("clip: "), "clip_id", F.lit("\nlabel: crime\nsegments:\n"), "t").alias("body"))
 
 
