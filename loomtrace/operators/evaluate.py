@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomtrace.operators.graph import connected_components
+from loomtrace.runtime import ship_package
+
 
 def contingency(items: DataFrame) -> DataFrame:
     return items.groupBy("gt", "pred").agg(F.count("*").alias("n"))
@@ -109,7 +112,11 @@ def assign(cost):
 
 def best_matching(overlaps: DataFrame) -> DataFrame:
     """(gt, pred, n): the one-to-one matching of most overlap; pairs without overlap are left out. The table has a
-    row per pair of identities that meet, and the matching is one small dense problem over identities."""
+    row per pair of identities that meet. Identities that no chain of meetings connects cannot compete, so each
+    connected component of the meetings is a dense problem of its own."""
+    ship_package(overlaps.sparkSession)
+    met = overlaps.where("n > 0").select(F.col("gt").cast("long").alias("gt"), F.col("pred").cast("long").alias("pred"), F.col("n").cast("long").alias("n"))
+    groups = connected_components(met.select((F.col("gt") * 2).alias("src"), (F.col("pred") * 2 + 1).alias("dst")))
 
     def run(pdf):
         import numpy as np
@@ -121,7 +128,8 @@ def best_matching(overlaps: DataFrame) -> DataFrame:
         rows = [(gts[r], preds[c], int(table[r, c])) for r, c in assign(-table).items() if table[r, c] > 0]
         return pd.DataFrame(rows, columns=["gt", "pred", "n"])
 
-    return overlaps.withColumn("all", F.lit(1)).groupBy("all").applyInPandas(run, "gt long, pred long, n long")
+    named = met.withColumn("node", F.col("gt") * 2).join(groups, "node").drop("node")
+    return named.groupBy("component").applyInPandas(run, "gt long, pred long, n long")
 
 
 def interval_iou(spans: DataFrame, step: float = 0.1) -> DataFrame:

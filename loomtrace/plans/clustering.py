@@ -166,9 +166,10 @@ def triplet_mining(spark, sf_dir):
     order = Window.partitionBy("clip_id", "track_id").orderBy(F.desc(F.coalesce(F.nullif("quality", F.lit(0.0)), F.nullif("confidence", F.lit(0.0)), F.lit(0.0))), "frame_num", "event_id")
     best = det.withColumn("r", F.row_number().over(order)).where("r = 1").select("clip_id", "track_id", "event_id")
     # The first two tracklets of a person are enough to name another one for each: no pairs are formed.
-    heads = tr.groupBy("gid").agg(F.slice(F.array_sort(F.collect_list(F.struct("clip_id", "track_id"))), 1, 2).alias("h"))
     own = F.struct("clip_id", "track_id")
-    pos = tr.join(heads, "gid").withColumn("p", F.when(F.col("h")[0] == own, F.get("h", F.lit(1))).otherwise(F.col("h")[0])).where("p is not null")
+    first = tr.groupBy("gid").agg(F.min(own).alias("one"))
+    second = tr.join(first, "gid").where(own != F.col("one")).groupBy("gid").agg(F.min(own).alias("two"))
+    pos = tr.join(first, "gid").join(second, "gid").withColumn("p", F.when(F.col("one") == own, F.col("two")).otherwise(F.col("one")))
     meets = T.overlap_join(T.frame_ranges(det))
     both = meets.unionByName(meets.select("clip_id", F.col("b").alias("a"), F.col("a").alias("b")))
     # A clip's tracklets in order of person and track: the first place that is neither of the own person, whose

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import time
 import uuid
 import zipfile
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -48,10 +51,14 @@ def ship_package(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir, which driver and executors share.
 
-    Only where it is unset (a local test) does this pick a folder of its own.
+    Only where it is unset does this pick a folder of its own, and only for a master in this process: on a cluster
+    executors could not read it.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder that driver and executors share (master is {master})")
         base = f"file://{tempfile.gettempdir()}/loomtrace-{os.getuid()}-{spark.sparkContext.applicationId}"
         spark.conf.set("spark.checkpoint.dir", base)
         spark.sparkContext.setCheckpointDir(base)
@@ -81,3 +88,25 @@ def discard(*frames: DataFrame) -> None:
             jvm = spark.sparkContext._jvm
             target = jvm.org.apache.hadoop.fs.Path(path)
             target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
+
+
+class StageTimes(dict):
+    """Wall-clock seconds by stage: ``with times.stage(name)``; a DataFrame given to ``run`` is computed inside it."""
+
+    @contextmanager
+    def stage(self, name: str):
+        start = time.perf_counter()
+        try:
+            yield self
+        finally:
+            self[name] = self.get(name, 0.0) + time.perf_counter() - start
+
+    def run(self, name: str, df: DataFrame) -> DataFrame:
+        """df, written within the stage: what is timed is the work and not its plan."""
+        with self.stage(name):
+            return materialise(df, name)
+
+    def report(self, spark: SparkSession) -> DataFrame:
+        """(stage, sec, percent) in order of the stages."""
+        whole = sum(self.values()) or 1.0
+        return spark.createDataFrame([(k, round(v, 4), round(100 * v / whole, 4)) for k, v in self.items()], "stage string, sec double, percent double")
