@@ -74,3 +74,9 @@ def iou(a: dict[str, Column], b: dict[str, Column]) -> Column:
         return F.greatest(box["x2"] - box["x1"], F.lit(0)) * F.greatest(box["y2"] - box["y1"], F.lit(0))
 
     return w * h / F.greatest(area(a) + area(b) - w * h, F.lit(1e-12))
+
+
+def fallback_weights(path: Column) -> Column:
+    """The older weights of the same size that stand in for newer ones, by file name; null where none do."""
+    size = F.regexp_extract(F.substring_index(path, "/", -1), r"^yolo26([nslmx])\.pt$", 1)
+    return F.when(size != "", F.concat(F.lit("yolo11"), size, F.lit(".pt")))

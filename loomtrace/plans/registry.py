@@ -22,4 +22,5 @@ def query(sql: str | None = None):
     return add
 
 
-from loomtrace.plans import clustering, detections, evaluation, quality, reports, scenes, similarity, tracklets  # noqa: E402, F401
+from loomtrace.plans import clustering, detections, evaluation, quality, reports, scenes, similarity, tracklets  # noqa: E402, F401, I001
+from loomtrace.plans import documents  # noqa: E402, F401

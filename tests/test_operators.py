@@ -343,3 +343,73 @@ def test_components_in_rounds_and_in_one_task(spark):
     for most in (0, 1500, 500_000):
         assert {r.node: r.component for r in connected_components(edges, task_edges=most).collect()} == want
     assert connected_components(edges.limit(0)).count() == 0
+
+
+def test_documents_round_trip(spark, tmp_path):
+    from loomtrace.sources import documents
+
+    rows = [(1, "a", 7, [[1, 3], [5, 5]], 0.5), (1, "b", 2, [[4, 9]], 1.0), (2, "a", 8, [[2, 2]], 0.25)]
+    book = documents.catalogue_documents(spark.createDataFrame(rows, "global_id long, clip_id string, track_id long, ranges array<array<long>>, probability double"))
+    documents.write_documents(book, f"file://{tmp_path}/catalogue")
+    got = documents.read_catalogue(spark, f"file://{tmp_path}/catalogue").collect()
+    assert sorted(map(tuple, got)) == sorted((g, c, t, r, p) for g, c, t, r, p in rows)
+    scenes = spark.createDataFrame([("a", "crime", 0.5, "x"), ("b", "normal", 0.0, "y")], documents.SCENE_SCHEMA)
+    documents.write_documents(scenes, f"file://{tmp_path}/scenes")
+    assert sorted(documents.read_scenes(spark, f"file://{tmp_path}/scenes").collect()) == sorted(scenes.collect())
+
+
+def test_cache_is_resolved(spark, tmp_path):
+    import os
+
+    from loomtrace.sources import documents
+
+    with pytest.raises(Exception):  # noqa: B017
+        documents.resolve_cache(spark, str(tmp_path))
+    for k, name in enumerate(["a_all_detections_v1.json", "b_all_detections_v2.json", "c.json"]):
+        (tmp_path / name).write_text("[]")
+        os.utime(tmp_path / name, (1000 - k, 1000 - k))
+    assert documents.resolve_cache(spark, str(tmp_path)).endswith("/a_all_detections_v1.json")
+    for name in ("old_all_detections.json", "old2_all_detections.json"):
+        (tmp_path / name).write_text("[]")
+        os.utime(tmp_path / name, (10, 10))
+    assert documents.resolve_cache(spark, str(tmp_path)).endswith("/old_all_detections.json")  # the later name on a tie
+    assert documents.resolve_cache(spark, str(tmp_path), f"{tmp_path}/c.json").endswith("/c.json")
+
+
+def test_review_inputs(spark, tmp_path):
+    from loomtrace.sources import documents
+
+    good = {
+        "detections": '{"clip_id":"a","frame_num":1,"track_id":2}',
+        "catalogue": '{"clip_id":"a","local_track_id":2,"frame_ranges":[[1,2],[4,4]],"cluster_probability":0.5}',
+        "scenes": '{"label":"crime","crime_segments":[{"timestamp_start":1,"timestamp_end":2,"involved_people_global":[1]}]}',
+    }
+    paths = []
+    for name, text in good.items():
+        (tmp_path / f"{name}.json").write_text(text + "\n")
+        paths.append(str(tmp_path / f"{name}.json"))
+    assert {k: v.count() for k, v in documents.review_inputs(spark, *paths).items()} == dict.fromkeys(good, 1)
+    (tmp_path / "catalogue.json").write_text(good["catalogue"].replace("[4,4]", "[9,3]") + "\n")
+    with pytest.raises(ValueError, match="catalogue: frame_ranges"):
+        documents.review_inputs(spark, *paths)
+
+
+def test_stage_times(spark):
+    from loomtrace.runtime import StageTimes
+
+    times = StageTimes()
+    with times.stage("plan"):
+        df = spark.range(10)
+    assert times.run("count", df).count() == 10
+    rows = times.report(spark).collect()
+    assert [r.stage for r in rows] == ["plan", "count"] and abs(sum(r.percent for r in rows) - 100) < 0.01
+
+
+def test_frame_labels_and_sets(spark):
+    from loomtrace.operators import frames
+
+    gt = frames.frame_sets(spark.createDataFrame([(1, "a", 1, 4), (1, "a", 3, 5), (2, "a", 5, 6)], "person long, clip_id string, s long, e long"))
+    pred = frames.frame_sets(spark.createDataFrame([(9, "a", 4, 5), (9, "b", 1, 1)], "person long, clip_id string, s long, e long"))
+    assert {(r.gt, r.pred, r.common, r.either) for r in frames.frame_set_overlap(gt, pred).collect()} == {(1, 9, 2, 6), (2, 9, 1, 4)}
+    labels = {(r.clip_id, r.frame_num): (r.gt, r.pred) for r in frames.frame_labels(gt, pred).collect()}
+    assert labels == {("a", 1): (1, -1), ("a", 2): (1, -1), ("a", 3): (1, -1), ("a", 4): (1, 9), ("a", 5): (2, 9), ("a", 6): (2, -1), ("b", 1): (-1, 9)}
