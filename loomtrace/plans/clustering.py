@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from loomtrace.functions import vectors
+from loomtrace.functions import scalars, vectors
 from loomtrace.operators import cluster as C
+from loomtrace.operators import frames
 from loomtrace.operators import similarity as S
 from loomtrace.operators import tracklets as T
 from loomtrace.operators.graph import connected_components
@@ -15,6 +16,7 @@ from loomtrace.plans.detections import histograms
 from loomtrace.plans.registry import query
 from loomtrace.plans.similarity import DOT_SQL, near
 from loomtrace.plans.tracklets import ISLANDS_SQL, MIN_FRAMES
+from loomtrace.runtime import materialise
 from loomtrace.sources import tables
 from loomtrace.sources.tables import DET_SQL
 
@@ -156,41 +158,72 @@ neg AS (SELECT a.clip_id, a.track_id, min(struct_pack(g := b.gid, t := b.track_i
   LEFT JOIN meets m ON m.clip_id = a.clip_id AND m.a = a.track_id AND m.b = b.track_id WHERE m.a IS NULL GROUP BY 1, 2)"""
 
 
-@query(f"""WITH {TRIPLET_SQL} SELECT a.event_id AS anchor, p.event_id AS positive, n.event_id AS negative FROM pos JOIN neg USING (clip_id, track_id)
-JOIN best a ON a.clip_id = pos.clip_id AND a.track_id = pos.track_id AND a.r = 1 JOIN best p ON p.clip_id = pos.p.c AND p.track_id = pos.p.t AND p.r = 1
-JOIN best n ON n.clip_id = neg.clip_id AND n.track_id = neg.n.t AND n.r = 1""")
+def _first_apart(det, tr):
+    """(clip_id, track_id, nt): the first tracklet of the clip, by person and track, that is another person's and never in view together.
+
+    Candidates are tried in order, a growing stretch of them a round; only tracklets that found none go on, so no
+    list of meeting pairs is made."""
+    spans = T.frame_ranges(det).groupBy("clip_id", "track_id").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+    placed = materialise(numbered(tr, ["clip_id", "gid", "track_id"], "r").join(spans, ["clip_id", "track_id"]), "placed")
+    clips = placed.groupBy("clip_id").agg(F.min("r").alias("at"), F.max("r").alias("last"))
+    pending = placed.join(F.broadcast(clips) if clips.count() <= 100_000 else clips, "clip_id").select("clip_id", "track_id", "gid", "spans", "at", "last")
+    tried = placed.select(F.col("r").alias("c"), F.col("gid").alias("other"), F.col("track_id").alias("nt"), F.col("spans").alias("theirs"))
+    meet = F.exists("spans", lambda x: F.exists("theirs", lambda y: scalars.overlaps(x["s"], x["e"], y["s"], y["e"])))
+    found, width = None, 8
+    while True:
+        probes = pending.withColumn("c", F.explode(F.sequence("at", F.least(F.col("at") + width - 1, F.col("last")))))
+        apart = probes.join(tried, "c").where((F.col("gid") != F.col("other")) & ~meet)
+        apart = materialise(apart.groupBy("clip_id", "track_id").agg(F.min_by("nt", "c").alias("nt")), "apart")
+        found = apart if found is None else found.unionByName(apart)
+        pending = pending.join(apart.select("clip_id", "track_id"), ["clip_id", "track_id"], "left_anti").withColumn("at", F.col("at") + width).where(F.col("at") <= F.col("last"))
+        pending = materialise(pending, "pending")
+        if pending.isEmpty():
+            return found
+        width *= 4
+
+
+FALLBACK_SQL = f"""{TRIPLET_SQL}, far AS (SELECT clip_id, track_id, arg_min(event_id, [frame_num, event_id]) AS first_event, arg_max(event_id, [frame_num, event_id]) AS last_event FROM det GROUP BY ALL HAVING count(*) >= 2),
+other AS (SELECT a.gid, min(struct_pack(g := b.gid, c := b.clip_id, t := b.track_id)) AS o FROM (SELECT DISTINCT gid FROM tr) a JOIN tr b ON a.gid <> b.gid GROUP BY 1)"""
+
+
+@query(f"""WITH {FALLBACK_SQL} SELECT CASE WHEN p.event_id IS NULL THEN far.first_event ELSE a.event_id END AS anchor, coalesce(p.event_id, far.last_event) AS positive, n.event_id AS negative
+FROM tr JOIN best a ON a.clip_id = tr.clip_id AND a.track_id = tr.track_id AND a.r = 1 LEFT JOIN pos ON pos.clip_id = tr.clip_id AND pos.track_id = tr.track_id
+LEFT JOIN best p ON p.clip_id = pos.p.c AND p.track_id = pos.p.t AND p.r = 1 LEFT JOIN far ON far.clip_id = tr.clip_id AND far.track_id = tr.track_id
+LEFT JOIN neg ON neg.clip_id = tr.clip_id AND neg.track_id = tr.track_id JOIN other ON other.gid = tr.gid
+JOIN best n ON n.clip_id = CASE WHEN neg.n IS NULL THEN other.o.c ELSE tr.clip_id END AND n.track_id = coalesce(neg.n.t, other.o.t) AND n.r = 1
+WHERE coalesce(p.event_id, far.last_event) IS NOT NULL""")
 def triplet_mining(spark, sf_dir):
-    """Anchor, positive (the person's first other tracklet) and negative (the first other person of the clip never in view together)."""
-    det = tables.detections(spark, sf_dir)
-    tr = det.select("clip_id", "track_id").distinct().withColumn("gid", F.col("track_id") % 40)
-    order = Window.partitionBy("clip_id", "track_id").orderBy(F.desc(F.coalesce(F.nullif("quality", F.lit(0.0)), F.nullif("confidence", F.lit(0.0)), F.lit(0.0))), "frame_num", "event_id")
-    best = det.withColumn("r", F.row_number().over(order)).where("r = 1").select("clip_id", "track_id", "event_id")
+    """Anchor, positive and negative of every tracklet.
+
+    The positive is the person's first other tracklet; where there is none, the tracklet's last detection, with its
+    first as the anchor. The negative is the first other person of the clip never in view together; where there is
+    none, the first tracklet of another person anywhere."""
+    columns = ("event_id", "clip_id", "track_id", "frame_num", "quality", "confidence")
+    det = materialise(tables.detections(spark, sf_dir).select(*columns), "triplet-detections")
+    rank = F.struct(F.coalesce(F.nullif("quality", F.lit(0.0)), F.nullif("confidence", F.lit(0.0)), F.lit(0.0)), -F.col("frame_num"), -F.col("event_id"))
+    best = materialise(det.groupBy("clip_id", "track_id").agg(F.max_by("event_id", rank).alias("event_id")), "best-detections")
+    tr = best.select("clip_id", "track_id", (F.col("track_id") % 40).alias("gid"))
     # The first two tracklets of a person are enough to name another one for each: no pairs are formed.
     own = F.struct("clip_id", "track_id")
     first = tr.groupBy("gid").agg(F.min(own).alias("one"))
     second = tr.join(first, "gid").where(own != F.col("one")).groupBy("gid").agg(F.min(own).alias("two"))
     pos = tr.join(first, "gid").join(second, "gid").withColumn("p", F.when(F.col("one") == own, F.col("two")).otherwise(F.col("one")))
-    meets = T.overlap_join(T.frame_ranges(det))
-    both = meets.unionByName(meets.select("clip_id", F.col("b").alias("a"), F.col("a").alias("b")))
-    # A clip's tracklets in order of person and track: the first place that is neither of the own person, whose
-    # places are one run lo to hi, nor of a tracklet in view together. Only such meetings are listed.
-    placed = numbered(tr, ["clip_id", "gid", "track_id"], "r")
-    runs = placed.groupBy("clip_id", "gid").agg(F.min("r").alias("lo"), F.max("r").alias("hi"))
-    clips = placed.groupBy("clip_id").agg(F.min("r").alias("first"), F.max("r").alias("last"))
-    own = placed.join(runs, ["clip_id", "gid"]).join(clips, "clip_id").withColumn("width", F.col("hi") - F.col("lo") + 1)
-    met = both.withColumnRenamed("a", "track_id").join(placed.select("clip_id", F.col("track_id").alias("b"), F.col("r").alias("m")), ["clip_id", "b"])
-    met = met.join(own, ["clip_id", "track_id"]).where(~F.col("m").between(F.col("lo"), F.col("hi")))
-    met = met.withColumn("p", F.col("m") - F.col("first") + 1 - F.when(F.col("m") > F.col("hi"), F.col("width")).otherwise(0))
-    met = met.withColumn("q", F.row_number().over(Window.partitionBy("clip_id", "track_id").orderBy("p")))
-    taken = met.where("p = q").groupBy("clip_id", "track_id").agg(F.count("*").alias("k"))
-    free = own.join(taken, ["clip_id", "track_id"], "left").withColumn("at", F.col("first") + F.coalesce("k", F.lit(0)))
-    free = free.withColumn("at", F.col("at") + F.when(F.col("at") >= F.col("lo"), F.col("width")).otherwise(0))
-    neg = free.select("clip_id", "track_id", "at").join(placed.select(F.col("r").alias("at"), F.col("clip_id").alias("nc"), F.col("track_id").alias("nt")), "at").where("nc = clip_id")
-    rows = pos.select("clip_id", "track_id", F.col("p.clip_id").alias("pc"), F.col("p.track_id").alias("pt")).join(neg.select("clip_id", "track_id", "nt"), ["clip_id", "track_id"])
-    rows = rows.join(best.withColumnRenamed("event_id", "anchor"), ["clip_id", "track_id"])
-    rows = rows.join(best.select(F.col("clip_id").alias("pc"), F.col("track_id").alias("pt"), F.col("event_id").alias("positive")), ["pc", "pt"])
-    rows = rows.join(best.select("clip_id", F.col("track_id").alias("nt"), F.col("event_id").alias("negative")), ["clip_id", "nt"])
-    return rows.select("anchor", "positive", "negative")
+    neg = _first_apart(det, tr)
+    # The first tracklet of all, or of the second person for the first one: two rows.
+    placed_all = F.struct("gid", "clip_id", "track_id")
+    lead = tr.agg(F.min(placed_all).alias("lead"))
+    rest = tr.crossJoin(F.broadcast(lead)).where(F.col("gid") != F.col("lead.gid")).agg(F.min(placed_all).alias("rest"))  # one row each
+    ends = frames.ends_by_frame(det)
+    rows = tr.join(pos.select("clip_id", "track_id", F.col("p.clip_id").alias("pc"), F.col("p.track_id").alias("pt")), ["clip_id", "track_id"], "left")
+    rows = rows.join(neg.select("clip_id", "track_id", "nt"), ["clip_id", "track_id"], "left").crossJoin(F.broadcast(lead)).crossJoin(F.broadcast(rest))
+    other = F.when(F.col("gid") == F.col("lead.gid"), F.col("rest")).otherwise(F.col("lead"))
+    rows = rows.withColumn("nc", F.when(F.col("nt").isNull(), other["clip_id"]).otherwise(F.col("clip_id"))).withColumn("nt", F.coalesce("nt", other["track_id"])).drop("lead", "rest")
+    rows = rows.join(best.withColumnRenamed("event_id", "top"), ["clip_id", "track_id"]).join(ends, ["clip_id", "track_id"], "left")
+    rows = rows.join(best.select(F.col("clip_id").alias("pc"), F.col("track_id").alias("pt"), F.col("event_id").alias("twin")), ["pc", "pt"], "left")
+    rows = rows.join(best.select(F.col("clip_id").alias("nc"), F.col("track_id").alias("nt"), F.col("event_id").alias("negative")), ["nc", "nt"])
+    alone = F.col("twin").isNull()
+    rows = rows.select(F.when(alone, F.col("first_event")).otherwise(F.col("top")).alias("anchor"), F.coalesce("twin", "last_event").alias("positive"), "negative")
+    return rows.where("positive is not null")
 
 
 @query(f"""WITH {APPEAR_SQL} SELECT global_id, clip_id, string_agg(ranges, ',' ORDER BY track_id) AS frame_ranges FROM app GROUP BY 1, 2""")

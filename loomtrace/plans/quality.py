@@ -99,6 +99,38 @@ def validate_scene(spark, sf_dir):
     return R.violations(_documents(spark, sf_dir, SCENE), R.scene_rules())
 
 
+#: Documents of several ranges, segments and persons, whose faults are in later ones too.
+RANGES = _payload([
+    """'{"clip_id": "c1", "local_track_id": 1, "cluster_probability": 0.5, "frame_ranges": [[1, 2], ['""", "CAST(event_id % 50 AS VARCHAR(20))", "', '", "CAST(event_id % 45 + 3 AS VARCHAR(20))", "'], '",
+    """CASE event_id % 5 WHEN 0 THEN '[9, 3]' WHEN 1 THEN '[1, 2, 3]' WHEN 2 THEN '["a", true]' WHEN 3 THEN '7' ELSE '[4, 4], [5, 1]' END""", "']}'",
+])
+SEGMENTS = _payload([
+    """'{"label": "crime", "crime_segments": [{"timestamp_start": 0, "timestamp_end": 1, "involved_people_global": [3, '""", "CASE event_id % 4 WHEN 0 THEN 'true' WHEN 1 THEN '4' ELSE '\"local_7\"' END",
+    """']}, {"timestamp_start": '""", "CAST(event_id % 10 AS VARCHAR(20))", """', "timestamp_end": '""", "CAST(event_id % 7 AS VARCHAR(20))", """', "involved_people_global": ['""",
+    "CASE event_id % 3 WHEN 0 THEN '1.5' WHEN 1 THEN '' ELSE '5, 6, null' END", "']}]}'",
+])
+_INT = "json_type({0}) IN ('BIGINT', 'UBIGINT')"
+
+
+@query(f"""WITH docs AS (SELECT event_id AS id, CAST({RANGES} AS JSON) AS doc FROM events), x AS (SELECT id, unnest(json_extract(doc, '$.frame_ranges[*]')) AS r, unnest(range(len(json_extract(doc, '$.frame_ranges[*]')))) AS k FROM docs),
+t AS (SELECT id, CASE WHEN k = 0 THEN 'frame_ranges' ELSE 'frame_ranges[' || k || ']' END AS path, json_type(r) = 'ARRAY' AND json_array_length(r) = 2 AS pair,
+  coalesce({_INT.format("r -> '$[0]'")} AND {_INT.format("r -> '$[1]'")}, false) AS whole, TRY_CAST(r ->> '$[0]' AS BIGINT) AS s, TRY_CAST(r ->> '$[1]' AS BIGINT) AS e FROM x)
+SELECT id, path, 'must be a pair of start and end' AS message FROM t WHERE NOT pair UNION ALL SELECT id, path, 'must hold integers' FROM t WHERE pair AND NOT whole
+UNION ALL SELECT id, path, 'start must not pass end' FROM t WHERE pair AND whole AND s > e""")
+def validate_catalogue_ranges(spark, sf_dir):
+    """Every range of an appearance is judged."""
+    return R.violations(_documents(spark, sf_dir, RANGES), R.appearance_rules())
+
+
+@query(f"""WITH docs AS (SELECT event_id AS id, CAST({SEGMENTS} AS JSON) AS doc FROM events), x AS (SELECT id, unnest(json_extract(doc, '$.crime_segments[*]')) AS g, unnest(range(len(json_extract(doc, '$.crime_segments[*]')))) AS k FROM docs),
+p AS (SELECT id, k, unnest(json_extract(g, '$.involved_people_global[*]')) AS person, unnest(range(len(json_extract(g, '$.involved_people_global[*]')))) AS j FROM x)
+SELECT id, CASE WHEN k = 0 THEN 'crime_segments' ELSE 'crime_segments[' || k || ']' END AS path, 'start must not pass end' AS message FROM x WHERE CAST(g ->> '$.timestamp_start' AS DOUBLE) > CAST(g ->> '$.timestamp_end' AS DOUBLE)
+UNION ALL SELECT id, CASE WHEN k = 0 AND j = 0 THEN 'involved_people_global' ELSE 'involved_people_global[' || k || '][' || j || ']' END, 'must hold integers' FROM p WHERE NOT {_INT.format("person")}""")
+def validate_scene_segments(spark, sf_dir):
+    """Every segment and person of a scene is judged."""
+    return R.violations(_documents(spark, sf_dir, SEGMENTS), R.scene_rules())
+
+
 REPORT = _payload([
     """'{"person_reid": {"v_measure": '""", "CASE event_id % 4 WHEN 0 THEN '1.5' WHEN 1 THEN 'true' ELSE '0.5' END", """', "adjusted_rand_index": '""", "CASE event_id % 5 WHEN 0 THEN '-2' ELSE '-0.5' END",
     """', "purity": 1}, "scene": {"accuracy": '""", """CASE event_id % 6 WHEN 0 THEN '"1"' ELSE '0.25' END""", """'}}'""",

@@ -139,8 +139,8 @@ KNN_SQL = """vecs AS MATERIALIZED (SELECT vec_id AS id, list_transform(embedding
 sims AS MATERIALIZED (SELECT a.id AS i, b.id AS j, CASE WHEN a.id = b.id THEN 1 ELSE list_inner_product(a.v, b.v) END AS s FROM vecs a, vecs b),
 orig AS MATERIALIZED (SELECT i, j, greatest(2 - 2 * s, 0) / max(greatest(2 - 2 * s, 0)) OVER (PARTITION BY i) AS o, s FROM sims),
 ranked AS MATERIALIZED (SELECT i, j, row_number() OVER (PARTITION BY i ORDER BY CASE WHEN i = j THEN 0 ELSE 1 END, s DESC, j) - 1 AS rank FROM sims)"""
-RECIPROCAL_SQL = f"""{KNN_SQL}, full_ AS (SELECT a.i, a.j FROM ranked a JOIN ranked b ON a.i = b.j AND a.j = b.i WHERE a.rank <= {K1} AND b.rank <= {K1}),
-half_ AS (SELECT a.i, a.j FROM ranked a JOIN ranked b ON a.i = b.j AND a.j = b.i WHERE a.rank <= round_even({K1} / 2, 0) AND b.rank <= round_even({K1} / 2, 0))"""
+RECIPROCAL_SQL = f"""{KNN_SQL}, full_ AS MATERIALIZED (SELECT a.i, a.j FROM ranked a JOIN ranked b ON a.i = b.j AND a.j = b.i WHERE a.rank <= {K1} AND b.rank <= {K1}),
+half_ AS MATERIALIZED (SELECT a.i, a.j FROM ranked a JOIN ranked b ON a.i = b.j AND a.j = b.i WHERE a.rank <= round_even({K1} / 2, 0) AND b.rank <= round_even({K1} / 2, 0))"""
 
 
 @query(f"WITH {KNN_SQL} SELECT i, rank, j FROM ranked WHERE rank <= {K1}")
@@ -153,12 +153,11 @@ def rerank_reciprocal(spark, sf_dir):
     return S.reciprocal(S.nearest(vecs(spark, sf_dir), K1), K1)
 
 
-@query(f"""WITH {RECIPROCAL_SQL}, sizes AS (SELECT i, count(*) AS size FROM half_ GROUP BY i),
-lent AS (SELECT f.i, f.j AS q, h.j FROM full_ f JOIN half_ h ON h.i = f.j), common AS (SELECT l.i, q, count(*) AS c FROM lent l JOIN full_ f ON f.i = l.i AND f.j = l.j GROUP BY 1, 2),
-takes AS (SELECT common.i, q FROM common JOIN sizes ON sizes.i = q WHERE c > 2.0::DOUBLE / 3 * size),
-sets AS (SELECT i, j FROM full_ UNION SELECT lent.i, lent.j FROM lent JOIN takes ON takes.i = lent.i AND takes.q = lent.q),
-soft AS (SELECT i, j, exp(-o) / sum(exp(-o)) OVER (PARTITION BY i) AS x FROM sets JOIN orig USING (i, j)),
-mixed AS (SELECT r.i, s.j, sum(s.x) / {K2} AS x FROM ranked r JOIN soft s ON s.i = r.j WHERE r.rank < {K2} GROUP BY 1, 2),
+@query(f"""WITH {RECIPROCAL_SQL}, lent AS MATERIALIZED (SELECT f.i, f.j AS q, h.j, o.j IS NOT NULL AS own FROM full_ f JOIN half_ h ON h.i = f.j LEFT JOIN full_ o ON o.i = f.i AND o.j = h.j),
+judged AS MATERIALIZED (SELECT i, j, count(*) FILTER (own) OVER (PARTITION BY i, q) > 2.0::DOUBLE / 3 * count(*) OVER (PARTITION BY i, q) AS takes FROM lent),
+sets AS MATERIALIZED (SELECT i, j FROM full_ UNION SELECT i, j FROM judged WHERE takes),
+soft AS MATERIALIZED (SELECT i, j, exp(-o) / sum(exp(-o)) OVER (PARTITION BY i) AS x FROM sets JOIN orig USING (i, j)),
+mixed AS MATERIALIZED (SELECT r.i, s.j, sum(s.x) / {K2} AS x FROM ranked r JOIN soft s ON s.i = r.j WHERE r.rank < {K2} GROUP BY 1, 2),
 meet AS (SELECT a.i, b.i AS j, sum(least(a.x, b.x)) AS m FROM mixed a JOIN mixed b ON a.j = b.j AND a.i < b.i GROUP BY 1, 2)
 SELECT i, j, round(greatest((1 - {WEIGHT}) * (1 - m / (2 - m)) + {WEIGHT} * (p.o + q.o) / 2, 0), 4) AS d FROM meet JOIN orig p USING (i, j) JOIN orig q ON q.i = meet.j AND q.j = meet.i""")
 def rerank_jaccard(spark, sf_dir):
