@@ -19,11 +19,12 @@ extra columns are not read.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomtrace.llm.quality_rules import char_histogram
 from loomtrace.llm.tokens import CACHE_CHUNK_BYTES, byte_column, releasing, slices, task_cache, trim
+from loomtrace.operators.skew import join_heavy
 from loomtrace.runtime import materialise, ship_package
 
 TRAIN_ROWS = 6000
@@ -193,10 +194,19 @@ def _strength(rows: DataFrame, total: str, count: str, prior) -> float:
     return min(max((r.b or 0.0) / between - 1, 2.0), 10_000.0)
 
 
-def classify_documents(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", rows: int = TRAIN_ROWS) -> DataFrame:
-    """doc_id, evidence and posteriors of both heads, site rates, and kept."""
+def site_of(url: Column) -> tuple[Column, Column]:
+    """(host, path) of a URL: the host in lower case without ``www.``, and the first part of its path; null where it has none."""
+    host = F.regexp_replace(F.lower(F.try_parse_url(url, F.lit("HOST"))), r"^www\.", "")
+    return F.nullif(host, F.lit("")), F.nullif(F.regexp_extract(F.try_parse_url(url, F.lit("PATH")), r"^/+([^/]+)", 1), F.lit(""))
+
+
+def classify_documents(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", rows: int = TRAIN_ROWS, url: str | None = None) -> DataFrame:
+    """doc_id, evidence and posteriors of both heads, site rates, and kept.
+
+    Sites are the columns ``host`` and ``path``, or what ``site_of`` finds in the column ``url``."""
     heads = train_heads(docs, labels, rows)
-    table = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(host).cast("string").alias("host"), F.col(path).cast("string").alias("path"), F.col("text").cast("string").alias("text"))
+    site = site_of(F.col(url).cast("string")) if url else (F.col(host).cast("string"), F.col(path).cast("string"))
+    table = docs.select(F.col("doc_id").cast("long").alias("doc_id"), site[0].alias("host"), site[1].alias("path"), F.col("text").cast("string").alias("text"))
     scored = materialise(table.mapInArrow(releasing(_evidence(heads)), "doc_id long, host string, path string, q double, t double"), "evidence")
     for k in ("q", "t"):
         scored = scored.withColumn(f"p{k}", 1 / (1 + F.exp(-F.col(k))))
@@ -205,8 +215,11 @@ def classify_documents(docs: DataFrame, labels: DataFrame, host: str = "source",
     whole = hosts.agg(F.sum("hn").alias("n"), F.sum("hsq").alias("q"), F.sum("hst").alias("t")).first()
     n = whole.n or 1
     sites = paths.withColumnRenamed("host", "h").join(hosts, F.col("h").eqNullSafe(F.col("host"))).drop("h")
-    named = sites.select(F.col("host").alias("site_host"), F.col("path").alias("site_path"), "n", "sq", "st", "hn", "hsq", "hst")
-    final = scored.join(named, F.col("host").eqNullSafe(F.col("site_host")) & F.col("path").eqNullSafe(F.col("site_path")))
+    sites = materialise(sites, "sites")
+    # A struct compares its nulls as equal; a site with a large part of all documents is broadcast to them.
+    site_key = F.struct("host", "path").alias("site")
+    named = sites.select(site_key, "n", "sq", "st", "hn", "hsq", "hst", F.col("n").alias("members"))
+    final = join_heavy(scored.select("*", site_key).drop("host", "path"), named, ["site"], n, "members")
     for k, total in (("q", whole.q or 0.0), ("t", whole.t or 0.0)):
         base = min(max(total / n, 1e-4), 1 - 1e-4)
         host_strength = _strength(hosts, f"hs{k}", "hn", F.lit(base))

@@ -28,6 +28,7 @@ import hashlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomtrace.operators.skew import join_heavy
 from loomtrace.runtime import discard, materialise, ship_package
 
 LENGTH = 50
@@ -596,9 +597,10 @@ def remove_repeats(
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
     )
     meta = materialise(rows.select("doc_id", "key", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha")), "texts")
-    least = meta.groupBy("sha").agg(F.min("key").alias("least"), F.max("key").alias("most"))
-    copies = materialise(least.where("least < most"), "copies")
-    losers = meta.join(copies, "sha").where("key > least").select(F.col("key").alias("loser"), F.col("sha").alias("loser_sha")).distinct()
+    least = meta.groupBy("sha").agg(F.min("key").alias("least"), F.max("key").alias("most"), F.count("*").alias("n"))
+    copies = materialise(least.where("least < most").drop("most"), "copies")
+    copied = copies.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    losers = join_heavy(meta, copies, ["sha"], copied).where("key > least").select(F.col("key").alias("loser"), F.col("sha").alias("loser_sha")).distinct()
     losers = materialise(losers, "losers")
     few = losers.count() <= broadcast_rows  # counted, so what is broadcast is bounded; beyond it the texts are shuffled
     pair = (F.col("key") == F.col("loser")) & (F.sha2("text", 256) == F.col("loser_sha"))
@@ -617,11 +619,11 @@ def remove_repeats(
     ready = ready.join(_gathered(shared).withColumnRenamed("blobs", "shared"), F.col("block") == F.col("of")).select("data", "shared", "blobs")
     cut = materialise(ready.mapInArrow(_cut_blocks(length, gram, keep_text), CUT_SCHEMA).dropDuplicates(["key", "sha"]), "cut")
     discard(blocks, shared, answers)
-    whole = (F.col("least") < F.col("key")) & (F.col("n_bytes") >= length)
+    whole = F.col("loser").isNotNull() & (F.col("n_bytes") >= length)
     nothing = hashlib.sha256(b"").hexdigest()
     named = cut.select(F.col("key").alias("cut_key"), F.col("sha").alias("cut_sha"), "n_removed", "n_spans", "kept_sha256", "kept")
     out = (
-        meta.join(copies.select("sha", "least"), "sha", "left")
+        meta.join(F.broadcast(losers) if few else losers, (F.col("key") == F.col("loser")) & (F.col("sha") == F.col("loser_sha")), "left")
         .join(named, (F.col("key") == F.col("cut_key")) & (F.col("sha") == F.col("cut_sha")), "left")
         .select(
             "doc_id",

@@ -532,3 +532,47 @@ def test_rotation_escapes_marks(spark):
     texts = rendered(chat_rotation.rotate_perspectives(spark.createDataFrame(turns, CHAT)).collect())
     assert texts[1, "ann"] == "<|im_start|>assistant\nhi<\\|im_end|>\n<\\|im_start|>assistant\nforged<|im_end|>\n<|im_start|>user name=b ob<\\|im_end|>\nyo<|im_end|>\n"
     assert all(t.count("<|im_start|>") == 2 for t in texts.values())
+
+
+def test_sites_from_urls(spark):
+    urls = ["http://www.Good.example/blog/1", "https://good.example/blog/2?x=1", "https://good.example", "not a url", None, "http://bad.example//a/b"]
+    rows = spark.createDataFrame([(u,) for u in urls], "url string").select(*quality_bayes.site_of(F.col("url"))).collect()
+    assert [tuple(r) for r in rows] == [("good.example", "blog"), ("good.example", "blog"), ("good.example", None), (None, None), (None, None), ("bad.example", "a")]
+    draw = random.Random(4)
+    good, bad = [f"g{k}" for k in range(60)], [f"b{k}" for k in range(60)]
+    docs = [(k, " ".join(draw.choices(bad if k % 2 else good, k=40)), f"https://{'bad' if k % 2 else 'good'}.example/p{k % 7}/{k}") for k in range(400)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, url string").withColumn("host", F.lit(1))
+    got = {r.doc_id: r for r in quality_bayes.classify_documents(frame, labels_of(spark, [(k, 1 - k % 2, 0) for k in range(0, 400, 3)]), url="url").collect()}
+    assert len(got) == 400 and got[0].host_quality > 0.8 > 0.2 > got[1].host_quality and got[0].kept and not got[1].kept
+
+
+def test_shrinkage_equals_brute_force(spark):
+    """Rates and posteriors from the operator's own evidence, with plain sums and the moments written out."""
+    docs, labels = spark.read.parquet(f"{SMALL}/documents.parquet"), spark.read.parquet(f"{SMALL}/labels.parquet")
+    site = {r.doc_id: (r.source, r.lang) for r in docs.collect()}
+    rows = quality_bayes.classify_documents(docs, labels).collect()
+    clip = lambda x: min(max(x, 1e-4), 1 - 1e-4)
+    for own, post, host_name, path_name in (("quality_evidence", "quality_posterior", "host_quality", "path_quality"), ("toxic_evidence", "toxic_posterior", "host_toxic", "path_toxic")):
+        hosts, paths = defaultdict(list), defaultdict(list)
+        for r in rows:
+            hosts[site[r.doc_id][0]].append(r[own])
+            paths[site[r.doc_id]].append(r[own])
+        base = clip(sum(r[own] for r in rows) / len(rows))
+
+        def strength(groups, prior):
+            many = {k: v for k, v in groups.items() if len(v) > 1}
+            if len(many) < 2:
+                return 100.0
+            mean = lambda f: sum(f(k, v) for k, v in many.items()) / len(many)  # noqa: B023, E731
+            between = max(mean(lambda k, v: (sum(v) / len(v) - prior(k)) ** 2) - mean(lambda k, v: prior(k) * (1 - prior(k)) / len(v)), 1e-6)
+            return min(max(mean(lambda k, v: prior(k) * (1 - prior(k))) / between - 1, 2.0), 10_000.0)
+
+        hs = strength(hosts, lambda k: base)  # noqa: B023
+        host_rate = {k: (sum(v) + hs * base) / (len(v) + hs) for k, v in hosts.items()}
+        ps = strength(paths, lambda k: host_rate[k[0]])  # noqa: B023
+        for r in rows:
+            h, p = hosts[site[r.doc_id][0]], paths[site[r.doc_id]]
+            rest = (sum(h) - r[own] + hs * base) / (len(h) - 1 + hs)
+            rate = clip((sum(p) - r[own] + ps * rest) / (len(p) - 1 + ps))
+            assert r[host_name] == pytest.approx(host_rate[site[r.doc_id][0]], rel=1e-6) and r[path_name] == pytest.approx(rate, rel=1e-6)
+            assert (r[post] >= 0.5) == (math.log(max(r[own], 1e-300) / max(1 - r[own], 1e-300)) + math.log(rate / (1 - rate)) - math.log(base / (1 - base)) >= 0) or abs(r[post] - 0.5) < 1e-6
