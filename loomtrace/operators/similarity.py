@@ -11,14 +11,21 @@ from loomtrace.runtime import ship_package
 BLOCK_ROWS = 512
 
 
-def _block_pairs(vecs: DataFrame, block_rows: int) -> DataFrame:
-    """Each unordered pair of blocks once: a_ids, a, b_ids, b, same. A block holds about block_rows vectors."""
+def _block_pairs(vecs: DataFrame, block_rows: int, tag: str | None = None) -> DataFrame:
+    """Each unordered pair of blocks once: a_ids, a, b_ids, b, same (and the tags of both sides). A block holds about
+    block_rows vectors and meets the half of all blocks that follows it in a circle, so every block has as many pairs."""
     blocks = max(1, -(-vecs.count() // block_rows))
-    packed = vecs.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks))).groupBy("block").agg(F.sort_array(F.collect_list(F.struct("id", "v"))).alias("rows"))
-    left = packed.select("block", F.col("rows").alias("a"), F.explode(F.sequence(F.col("block"), F.lit(blocks - 1))).alias("other"))
+    columns = ["id", "v", *([tag] if tag else [])]
+    packed = vecs.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks))).groupBy("block").agg(F.sort_array(F.collect_list(F.struct(*columns))).alias("rows"))
+    step = F.explode(F.sequence(F.lit(0), F.lit(blocks // 2))).alias("step")
+    left = packed.select("block", F.col("rows").alias("a"), step)
+    if blocks % 2 == 0:
+        left = left.where((F.col("step") < blocks // 2) | (F.col("block") < blocks // 2))
+    left = left.withColumn("other", F.pmod(F.col("block") + F.col("step"), F.lit(blocks)))
     right = packed.select(F.col("block").alias("other"), F.col("rows").alias("b"))
+    tags = [F.col(f"{x}.{tag}").alias(f"{x}_tags") for x in "ab"] if tag else []
     return left.join(right, "other").select(
-        F.col("a.id").alias("a_ids"), F.col("a.v").alias("a"), F.col("b.id").alias("b_ids"), F.col("b.v").alias("b"), (F.col("block") == F.col("other")).alias("same")
+        F.col("a.id").alias("a_ids"), F.col("a.v").alias("a"), F.col("b.id").alias("b_ids"), F.col("b.v").alias("b"), (F.col("step") == 0).alias("same"), *tags
     )
 
 
@@ -31,6 +38,17 @@ def _matrices(frames):
             yield np.asarray(r.a_ids, np.int64), np.asarray(r.b_ids, np.int64), a @ b.T, bool(r.same)
 
 
+def _tagged_matrices(frames):
+    """(tags of the rows, tags of the columns, distances, whether both sides are one block)."""
+    import numpy as np
+
+    for pdf in frames:
+        for k in range(len(pdf)):
+            row = pdf.iloc[k : k + 1]
+            _, _, s, same = next(_matrices([row]))
+            yield np.asarray(row["a_tags"].iloc[0], np.int64), np.asarray(row["b_tags"].iloc[0], np.int64), np.clip(1 - s, 0, 2), same
+
+
 #: No cosine distance is larger.
 ALL = 2.0
 
@@ -75,13 +93,154 @@ def nearest(vecs: DataFrame, k: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
     return found.withColumn("low", F.min("low").over(by)).withColumn("rank", rank).where(F.col("rank") <= k).select("i", "rank", "j", "s", "low")
 
 
+SUMMARY_BINS = 1 << 16
+DRIVER_VALUES = 1_000_000
+
+
+def pair_summary(vecs: DataFrame, quantiles: tuple[float, ...] = (), within: tuple[float, ...] = (), positive: bool = False, copies: int = 1, block_rows: int = BLOCK_ROWS, most: int = DRIVER_VALUES) -> list[dict]:
+    """One dict for pairs of unlike (``alike`` 0) and of equal (1) tags of unit vectors (id, v, tag): n, low, high, broken,
+    within (pairs up to each distance) and quantiles (exact, interpolated, of every distance ``copies`` times); with
+    ``positive`` over distances above 0.
+
+    No pair leaves a task: tasks count distances in bins, and bins that hold a wanted rank are cut again until
+    they hold ``most`` values at most, or one value; then those values are read."""
+    import numpy as np
+
+    ship_package(vecs.sparkSession)
+    pairs = _block_pairs(vecs, block_rows, "tag")
+    bins = SUMMARY_BINS
+
+    def ranks(g, q):
+        place = q * (copies * (g["n"] - g["broken"]) - 1)
+        return int(np.floor(place)) // copies, int(np.ceil(place)) // copies, place - np.floor(place)
+
+    def distances(frames):
+        for ta, tb, d, same in _tagged_matrices(frames):
+            keep = np.triu(np.ones_like(d, bool), 1) if same else np.ones_like(d, bool)
+            alike = ta[:, None] == tb[None, :]
+            for k in (0, 1):
+                x = d[keep & (alike == bool(k))]
+                yield k, x[x > 0] if positive else x
+
+    def summaries(frames):
+        import pandas as pd
+
+        sums = {}
+        for k, x in distances(frames):
+            fine = x[np.isfinite(x)]
+            row = sums.setdefault(k, [0, np.inf, -np.inf, 0, *[0] * len(within)])
+            row[0] += len(x)
+            row[3] += len(x) - len(fine)
+            if len(fine):
+                row[1], row[2] = min(row[1], float(fine.min())), max(row[2], float(fine.max()))
+            for j, w in enumerate(within):
+                row[4 + j] += int((fine <= w).sum())
+        yield pd.DataFrame([(k, *r[:4], r[4:]) for k, r in sums.items()], columns=["alike", "n", "low", "high", "broken", "within"])
+
+    def counted(cells):
+        """(cell, bin, n, low, high) of the values in the bins of each cell (alike, low, high)."""
+
+        def run(frames):
+            import pandas as pd
+
+            tables = [(np.zeros(bins, np.int64), np.full(bins, np.inf), np.full(bins, -np.inf)) for _ in cells]
+            for k, x in distances(frames):
+                for c, (n, low, high) in zip(cells, tables, strict=True):
+                    if c[0] == k:
+                        inside = x[(x >= c[1]) & (x <= c[2])]
+                        at = np.minimum(((inside - c[1]) / (c[2] - c[1]) * bins).astype(np.int64), bins - 1)
+                        np.add.at(n, at, 1)
+                        np.minimum.at(low, at, inside)
+                        np.maximum.at(high, at, inside)
+            for place, (n, low, high) in enumerate(tables):
+                hit = np.flatnonzero(n)
+                yield pd.DataFrame({"cell": place, "bin": hit, "n": n[hit], "low": low[hit], "high": high[hit]})
+
+        rows = pairs.mapInPandas(run, "cell long, bin long, n long, low double, high double").groupBy("cell", "bin")
+        return rows.agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")).collect()  # cells x bins at most
+
+    def values(cells):
+        def run(frames):
+            import pandas as pd
+
+            for k, x in distances(frames):
+                for at, c in enumerate(cells):
+                    if c[0] == k:
+                        value, n = np.unique(x[(x >= c[1]) & (x <= c[2])], return_counts=True)
+                        yield pd.DataFrame({"cell": at, "value": value, "n": n})
+
+        return pairs.mapInPandas(run, "cell long, value double, n long").groupBy("cell", "value").agg(F.sum("n").alias("n")).collect()
+
+    rows = pairs.mapInPandas(summaries, "alike long, n long, low double, high double, broken long, within array<long>")
+    sums = rows.groupBy("alike").agg(
+        F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"), F.sum("broken").alias("broken"), *[F.sum(F.col("within")[j]).alias(f"w{j}") for j in range(len(within))]
+    )
+    found = [{"alike": r.alike, "n": r.n, "low": r.low, "high": r.high, "broken": r.broken, "within": [r[f"w{j}"] for j in range(len(within))], "quantiles": []} for r in sums.where("n > 0").collect()]
+    wanted = {}  # (alike, rank) -> [low, high, values below low, values inside]
+    for g in found:
+        if g["low"] <= g["high"]:
+            for q in quantiles:
+                for rank in set(ranks(g, q)[:2]):
+                    wanted[g["alike"], rank] = [g["low"], g["high"], 0, g["n"] - g["broken"]]
+    while wanted and any(w[3] > most and w[0] < w[1] for w in wanted.values()):
+        open_ = sorted({(k[0], w[0], w[1]) for k, w in wanted.items() if w[3] > most and w[0] < w[1]})
+        tables = {c: [] for c in open_}
+        for r in sorted(counted(open_), key=lambda r: r["bin"]):
+            tables[open_[r["cell"]]].append(r)
+        for (k, rank), w in wanted.items():
+            if own := tables.get((k, w[0], w[1])):
+                ends = w[2] + np.cumsum([r["n"] for r in own])
+                b = int(np.searchsorted(ends, rank, "right"))
+                w[:] = [own[b]["low"], own[b]["high"], int(ends[b] - own[b]["n"]), own[b]["n"]]
+    cells = sorted({(k[0], w[0], w[1]) for k, w in wanted.items()})
+    held = {c: [] for c in cells}
+    for r in values(cells) if cells else []:
+        held[cells[r.cell]].append((r.value, r.n))
+    at_rank = {}
+    for (k, rank), w in wanted.items():
+        own = sorted(held[k, w[0], w[1]])
+        ends = w[2] + np.cumsum([n for _, n in own])
+        at_rank[k, rank] = own[int(np.searchsorted(ends, rank, "right"))][0]
+    for g in found:
+        for q in quantiles:
+            first, second, part = ranks(g, q)
+            below, above = at_rank[g["alike"], first], at_rank[g["alike"], second]
+            g["quantiles"].append(float(below + (above - below) * part))
+    return sorted(found, key=lambda g: g["alike"])
+
+
+def adaptive_limits(vecs: DataFrame, least: float = 0.18) -> tuple[float, float]:
+    """(epsilon, gate): the 5th, but at least ``least``, and the 15th percentile of the positive distances of both triangles."""
+    found = pair_summary(vecs.withColumn("tag", F.lit(0).cast("long")), (0.05, 0.15), positive=True, copies=2)
+    if not found:
+        return least, least
+    return max(found[0]["quantiles"][0], least), found[0]["quantiles"][1]
+
+
+def _least_by_group(members: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(i, j, d), i < j: the least distance between members of two groups, folded within each pair of blocks first."""
+    ship_package(members.sparkSession)
+
+    def run(frames):
+        import numpy as np
+        import pandas as pd
+
+        for ga, gb, d, _ in _tagged_matrices(frames):
+            rows, columns = np.argsort(ga, kind="stable"), np.argsort(gb, kind="stable")
+            names = [np.unique(g[order], return_index=True) for g, order in ((ga, rows), (gb, columns))]
+            least = np.minimum.reduceat(np.minimum.reduceat(d[np.ix_(rows, columns)], names[0][1], axis=0), names[1][1], axis=1)
+            i, j = np.repeat(names[0][0], len(names[1][0])), np.tile(names[1][0], len(names[0][0]))
+            other = i != j
+            yield pd.DataFrame({"i": np.minimum(i, j)[other], "j": np.maximum(i, j)[other], "d": least.ravel()[other]})
+
+    pairs = _block_pairs(members.select("id", "v", F.col("grp").cast("long").alias("tag")), block_rows, "tag")
+    return pairs.mapInPandas(run, "i long, j long, d double").groupBy("i", "j").agg(F.min("d").alias("d"))
+
+
 def linkage(members: DataFrame, how: str, dims: int) -> DataFrame:
     """(i, j, d), i < j, between groups of unit vectors (grp, id, v): representative, mean or min of all pairs."""
     if how == "min":
-        owner = members.select("id", "grp")
-        pairs = radius_join(members.select("id", "v"), 2.0)
-        pairs = pairs.join(owner.select(F.col("id").alias("i"), F.col("grp").alias("gi")), "i").join(owner.select(F.col("id").alias("j"), F.col("grp").alias("gj")), "j")
-        return pairs.where("gi <> gj").groupBy(F.least("gi", "gj").alias("i"), F.greatest("gi", "gj").alias("j")).agg(F.min("d").alias("d"))
+        return _least_by_group(members)
     sums = members.groupBy("grp").agg(vectors.elementwise(F.avg, F.col("v"), dims).alias("mean"))
     # The mean over all pairs of 1 - a.b is 1 less the product of the mean vectors: no pair of members is formed.
     v = vectors.normalise(F.col("mean")) if how == "representative" else F.col("mean")

@@ -106,32 +106,32 @@ SELECT same, count(*) AS n, round(min(d), 4) AS d_min, round(quantile_cont(d, 0.
   round(quantile_cont(d, 0.75), 4) AS p75, round(quantile_cont(d, 0.9), 4) AS p90, round(max(d), 4) AS d_max, count(*) FILTER (d <= 0.7) AS within_070, count(*) FILTER (d <= 0.8) AS within_080, count(*) FILTER (d <= 0.9) AS within_090
 FROM t GROUP BY 1""")
 def distance_distribution(spark, sf_dir):
-    label = tables.embeddings(spark, sf_dir).select("vec_id", "label")
-    rows = near(spark, sf_dir, 2.0).join(label.select(F.col("vec_id").alias("i"), F.col("label").alias("li")), "i").join(label.select(F.col("vec_id").alias("j"), F.col("label").alias("lj")), "j")
-    cuts = {"p10": 0.1, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p90": 0.9}
-    return rows.groupBy((F.col("li") == F.col("lj")).alias("same")).agg(
-        F.count("*").alias("n"),
-        F.round(F.min("d"), 4).alias("d_min"),
-        *[F.round(F.percentile("d", F.lit(p)), 4).alias(name) for name, p in cuts.items()],
-        F.round(F.max("d"), 4).alias("d_max"),
-        *[F.count_if(F.col("d") <= x).alias(f"within_0{int(x * 100)}") for x in (0.7, 0.8, 0.9)],
-    )
+    """Counts and exact quantiles of all pairs, by whether the labels are the same; no pair leaves a task."""
+    tagged = tables.embeddings(spark, sf_dir).select(F.col("vec_id").alias("id"), "v", F.col("label").cast("long").alias("tag"))
+    names = ("p10", "p25", "p50", "p75", "p90")
+    rows = [
+        (bool(g["alike"]), g["n"], g["low"], *g["quantiles"], g["high"], *g["within"])
+        for g in S.pair_summary(tagged, (0.1, 0.25, 0.5, 0.75, 0.9), (0.7, 0.8, 0.9))
+    ]
+    schema = "same boolean, n long, d_min double, " + ", ".join(f"{x} double" for x in names) + ", d_max double, within_070 long, within_080 long, within_090 long"
+    return spark.createDataFrame(rows, schema).select("same", "n", *[F.round(c, 4).alias(c) for c in ("d_min", *names, "d_max")], "within_070", "within_080", "within_090")
 
 
 @query(f"""WITH {DOT_SQL}, both_ AS (SELECT d FROM sims WHERE d > 0 UNION ALL SELECT d FROM sims WHERE d > 0)
 SELECT round(greatest(quantile_cont(d, 0.05), 0.18), 4) AS epsilon, round(quantile_cont(d, 0.15), 4) AS gate FROM both_""")
 def adaptive_thresholds(spark, sf_dir):
     """Percentiles over both triangles of the distance matrix."""
-    rows = near(spark, sf_dir, 2.0).where("d > 0").select(F.explode(F.array("d", "d")).alias("d"))
-    return rows.agg(F.round(F.greatest(F.percentile("d", F.lit(0.05)), F.lit(0.18)), 4).alias("epsilon"), F.round(F.percentile("d", F.lit(0.15)), 4).alias("gate"))
+    epsilon, gate = S.adaptive_limits(vecs(spark, sf_dir))
+    return spark.createDataFrame([(epsilon, gate)], "epsilon double, gate double").select(*[F.round(c, 4).alias(c) for c in ("epsilon", "gate")])
 
 
 @query(f"""WITH {DOT_SQL} SELECT count(*) AS n_pairs, count(*) FILTER (NOT isfinite(d)) AS n_not_finite, count(*) FILTER (d < 0) AS n_negative, count(*) FILTER (d > 2) AS n_large FROM sims""")
 def distance_matrix_checks(spark, sf_dir):
-    d = F.col("d")
-    return near(spark, sf_dir, 2.0).agg(
-        F.count("*").alias("n_pairs"), F.count_if(F.isnan(d) | (F.abs(d) == float("inf"))).alias("n_not_finite"), F.count_if(d < 0).alias("n_negative"), F.count_if(d > 2).alias("n_large")
-    )
+    """Distances that cannot be: counted within the tasks that work them out."""
+    found = S.pair_summary(vecs(spark, sf_dir).withColumn("tag", F.lit(0).cast("long")), within=(-1e-300, S.ALL))
+    n, broken = sum(g["n"] for g in found), sum(g["broken"] for g in found)
+    negative, held = sum(g["within"][0] for g in found), sum(g["within"][1] for g in found)
+    return spark.createDataFrame([(n, broken, negative, n - broken - held)], "n_pairs long, n_not_finite long, n_negative long, n_large long")
 
 
 K1, K2, WEIGHT = 10, 4, 0.3

@@ -413,3 +413,34 @@ def test_frame_labels_and_sets(spark):
     assert {(r.gt, r.pred, r.common, r.either) for r in frames.frame_set_overlap(gt, pred).collect()} == {(1, 9, 2, 6), (2, 9, 1, 4)}
     labels = {(r.clip_id, r.frame_num): (r.gt, r.pred) for r in frames.frame_labels(gt, pred).collect()}
     assert labels == {("a", 1): (1, -1), ("a", 2): (1, -1), ("a", 3): (1, -1), ("a", 4): (1, 9), ("a", 5): (2, 9), ("a", 6): (2, -1), ("b", 1): (-1, 9)}
+
+
+@pytest.mark.parametrize(("block_rows", "most"), [(512, 10**6), (16, 20), (7, 1)])
+def test_pair_summary_equals_brute_force(spark, block_rows, most):
+    from loomtrace.operators import similarity as S
+
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(90, 6))
+    x[40:60] = x[40]  # many equal distances
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    tags = rng.integers(0, 3, 90)
+    frame = spark.createDataFrame([(k, x[k].tolist(), int(tags[k])) for k in range(90)], "id long, v array<double>, tag long")
+    i, j = np.triu_indices(90, 1)
+    d = np.clip(1 - (x @ x.T)[i, j], 0, 2)
+    for positive, copies in ((False, 1), (True, 2)):
+        found = S.pair_summary(frame, (0.0, 0.05, 0.5, 0.77, 1.0), (0.3, 1.0), positive, copies, block_rows, most)
+        assert [g["alike"] for g in found] == [0, 1]
+        for g in found:
+            own = d[(tags[i] == tags[j]) == bool(g["alike"])]
+            own = own[own > 1e-12] if positive else own
+            if positive:  # rounding may leave equal vectors a hair apart: those are told from none here
+                assert abs(g["n"] - len(own)) <= 190
+                continue
+            assert g["n"] == len(own) and g["low"] == pytest.approx(own.min(), abs=1e-12) and g["high"] == pytest.approx(own.max())
+            assert g["within"] == [int((own <= 0.3).sum()), int((own <= 1.0).sum())] and g["broken"] == 0
+            assert np.allclose(g["quantiles"], np.quantile(np.repeat(own, copies), (0.0, 0.05, 0.5, 0.77, 1.0)))
+    least = {(r.i, r.j): r.d for r in S.linkage(frame.withColumnRenamed("tag", "grp"), "min", 6).collect()}
+    full = np.clip(1 - x @ x.T, 0, 2)
+    assert least == {(a, b): pytest.approx(full[np.ix_(tags == a, tags == b)].min()) for a in range(3) for b in range(a + 1, 3)}
+    pairs = {(r.i, r.j) for r in S.radius_join(frame.select("id", "v"), 0.4, block_rows).collect()}
+    assert pairs == {(a, b) for a, b, y in zip(i.tolist(), j.tolist(), d.tolist(), strict=True) if y <= 0.4}
