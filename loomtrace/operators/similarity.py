@@ -237,14 +237,14 @@ def _least_by_group(members: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFra
     return pairs.mapInPandas(run, "i long, j long, d double").groupBy("i", "j").agg(F.min("d").alias("d"))
 
 
-def linkage(members: DataFrame, how: str, dims: int) -> DataFrame:
-    """(i, j, d), i < j, between groups of unit vectors (grp, id, v): representative, mean or min of all pairs."""
+def linkage(members: DataFrame, how: str, dims: int, radius: float = ALL) -> DataFrame:
+    """(i, j, d), i < j, d <= radius, between groups of unit vectors (grp, id, v): representative, mean or min of all pairs."""
     if how == "min":
-        return _least_by_group(members)
+        return _least_by_group(members).where(F.col("d") <= radius)
     sums = members.groupBy("grp").agg(vectors.elementwise(F.avg, F.col("v"), dims).alias("mean"))
     # The mean over all pairs of 1 - a.b is 1 less the product of the mean vectors: no pair of members is formed.
     v = vectors.normalise(F.col("mean")) if how == "representative" else F.col("mean")
-    return radius_join(sums.select(F.col("grp").alias("id"), v.alias("v")), 2.0)
+    return radius_join(sums.select(F.col("grp").alias("id"), v.alias("v")), radius)
 
 
 def penalised(pairs: DataFrame, temporal: float, motion: float, gap: float) -> Column:
@@ -260,8 +260,9 @@ def reciprocal(neighbours: DataFrame, k: int) -> DataFrame:
     return near.join(near.select(F.col("j").alias("i"), F.col("i").alias("j")), ["i", "j"])
 
 
-def rerank(vecs: DataFrame, k1: int = 20, k2: int = 6, weight: float = 0.3) -> DataFrame:
-    """(i, j, d), i < j, for pairs whose expanded neighbour sets meet; any other pair is at 1 - weight + weight * original."""
+def rerank(vecs: DataFrame, k1: int = 20, k2: int = 6, weight: float = 0.3, whole: bool = False) -> DataFrame:
+    """(i, j, d), i < j, for pairs whose expanded neighbour sets meet; any other pair is at 1 - weight + weight * original
+    and is there too if the ``whole`` matrix is asked for."""
     n = vecs.count()
     k1, k2, weight = min(max(k1, 1), max(n - 1, 1)), min(max(k2, 1), n), min(max(weight, 0.0), 1.0)
     near = nearest(vecs, max(k1, k2)).persist()
@@ -289,4 +290,10 @@ def rerank(vecs: DataFrame, k1: int = 20, k2: int = 6, weight: float = 0.3) -> D
     there = original(meet).withColumnRenamed("o", "o1")
     back = original(there.select(F.col("j").alias("i"), F.col("i").alias("j"), "m", "o1")).select(F.col("j").alias("i"), F.col("i").alias("j"), "m", "o1", "o")
     jaccard = 1 - F.col("m") / (2 - F.col("m"))
-    return back.select("i", "j", F.greatest((1 - weight) * jaccard + weight * (F.col("o1") + F.col("o")) / 2, F.lit(0.0)).alias("d"))
+    out = back.select("i", "j", F.greatest((1 - weight) * jaccard + weight * (F.col("o1") + F.col("o")) / 2, F.lit(0.0)).alias("d"))
+    if not whole:
+        return out
+    scale = low.select("i", F.when(F.col("top") > 0, F.col("top")).otherwise(1.0).alias("top"))
+    pairs = radius_join(vecs, ALL).join(scale, "i").join(scale.select(F.col("i").alias("j"), F.col("top").alias("top_j")), "j")
+    far = pairs.select("i", "j", (1 - weight + weight * (2 * F.col("d") / F.col("top") + 2 * F.col("d") / F.col("top_j")) / 2).alias("far"))
+    return far.join(out, ["i", "j"], "left").select("i", "j", F.coalesce("d", "far").alias("d"))

@@ -59,10 +59,10 @@ def motion(det: DataFrame) -> DataFrame:
     return rows.withColumn("speed", F.when(F.lag("cx").over(w).isNotNull(), step)).groupBy(*KEY).agg(F.median("speed").alias("motion_speed"), F.count("speed").alias("n_steps"))
 
 
-def smooth(det: DataFrame, dims: int, width: int = 5) -> DataFrame:
-    """Centred moving average of unit vectors in frame order, unit again; short tracklets are only normalised."""
+def smooth(det: DataFrame, dims: int, width: int = 5, order: tuple[str, ...] = ("frame_num", "event_id")) -> DataFrame:
+    """Centred moving average of unit vectors in frame order, or that of ``order``, unit again; short tracklets are only normalised."""
     half = (width if width % 2 else width + 1) // 2
-    near = _in_order().rowsBetween(-half, half)
+    near = Window.partitionBy(*KEY).orderBy(*order).rowsBetween(-half, half)
     rows = det.withColumn("u", F.explode(F.array(vectors.normalise(F.col("v"))))).withColumn("members", F.count("*").over(Window.partitionBy(*KEY)))
     mean = F.array(*[F.avg(F.col("u")[k]).over(near) for k in range(dims)])
     rows = rows.withColumn("mean", mean)

@@ -28,6 +28,18 @@ def person_catalogue_density(spark, sf_dir):
     return persons.density_persons(tables.detections(spark, sf_dir, vectors=True), tables.DIMS, epsilon=0.2, gate=0.25)
 
 
+@query()
+def person_catalogue_adaptive(spark, sf_dir):
+    """The whole density run: smoothing in quality order, re-ranked prototypes, limits from the distances."""
+    return persons.density_persons(tables.detections(spark, sf_dir, vectors=True), tables.DIMS, rerank=True, keep=F.col("h") >= 100)
+
+
+@query()
+def person_catalogue_penalised(spark, sf_dir):
+    """The graph run over all pairs of members, with penalties for place and speed."""
+    return persons.graph_persons(tables.detections(spark, sf_dir, vectors=True), tables.DIMS, epsilon=0.3, linkage="mean", temporal=0.05, motion=0.0005)
+
+
 @query()
 def box_tracker(spark, sf_dir):
     return models.track_boxes(tables.detections(spark, sf_dir))

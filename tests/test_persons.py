@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from loomtrace.operators import models, persons
 from loomtrace.operators.order import numbered
@@ -74,3 +75,101 @@ def test_numbers_are_consecutive_in_order(spark):
     rows = spark.range(1000).selectExpr("(id * 7919) % 1000 AS k").repartition(5)
     assert [(r.k, r.n) for r in numbered(rows, ["k"], "n").orderBy("k").collect()] == [(k, k + 1) for k in range(1000)]
     assert numbered(rows.where("k < 0"), ["k"], "n").count() == 0
+
+
+def dense_rerank(x, k1=20, k2=6, weight=0.3):
+    """k-reciprocal distances with whole matrices and plain sets."""
+    n = len(x)
+    k1, k2 = min(max(k1, 1), n - 1), min(max(k2, 1), n)
+    s = x @ x.T
+    np.fill_diagonal(s, 1.0)
+    o = np.maximum(2 - 2 * s, 0)
+    o = o / np.where(o.max(1, keepdims=True) > 0, o.max(1, keepdims=True), 1)
+    rank = [sorted(range(n), key=lambda j: (j != i, -s[i, j], j)) for i in range(n)]  # noqa: B023
+    mutual = lambda i, k: {j for j in rank[i][: k + 1] if i in rank[j][: k + 1]}
+    full, half = [mutual(i, k1) for i in range(n)], [mutual(i, round(k1 / 2)) for i in range(n)]
+    v = np.zeros((n, n))
+    for i in range(n):
+        own = set(full[i])
+        for q in full[i]:
+            if 3 * len(half[q] & full[i]) > 2 * len(half[q]):
+                own |= half[q]
+        own = sorted(own)
+        v[i, own] = np.exp(-o[i, own]) / np.exp(-o[i, own]).sum()
+    v = np.array([v[rank[i][:k2]].mean(0) for i in range(n)])
+    both = np.array([[np.minimum(v[i], v[j]).sum() for j in range(n)] for i in range(n)])
+    return np.maximum((1 - weight) * (1 - both / (2 - both)) + weight * (o + o.T) / 2, 0)
+
+
+def drawn(n_persons, seed):
+    rng = np.random.default_rng(seed)
+    base = rng.normal(size=(n_persons, DIMS))
+    rows, start = [], {}
+    for track in range(4 * n_persons):
+        person, clip = track % n_persons, "abc"[track % 3]
+        start[track] = int(rng.integers(1, 60))
+        for f in range(start[track], start[track] + int(rng.integers(3, 14))):
+            v = base[person] + rng.normal(0, 0.35, DIMS)
+            rows.append((len(rows), clip, track, f, float(rng.random()), None if rng.random() < 0.2 else float(rng.random()), v.tolist(), 0, 0, 8, 20))
+    return rows
+
+
+@pytest.mark.parametrize("rerank", [False, True])
+def test_density_run_equals_dense_version(spark, rerank):
+    from loomtrace.operators import cluster as C
+
+    rows = drawn(5, 3)
+    unit = lambda a: a / np.linalg.norm(a, axis=-1, keepdims=True)
+    tracks, protos, owner = sorted({(r[1], r[2]) for r in rows}), [], []
+    for k, (clip, track) in enumerate(tracks):
+        own = sorted((r for r in rows if (r[1], r[2]) == (clip, track)), key=lambda r: (-(r[5] if r[5] is not None else r[4]), r[3], r[0]))[:20]
+        v = unit(np.array([r[6] for r in own]))
+        if len(v) >= 3:
+            v = unit(np.array([v[max(0, x - 2) : x + 3].mean(0) for x in range(len(v))]))
+        p = v.mean(0, keepdims=True) if len(v) < 6 else v[np.unique(C.medoids(np.clip(1 - v @ v.T, 0, 2), 3, 51))]
+        protos += list(unit(p))
+        owner += [k] * len(p)
+    protos, owner = np.array(protos), np.array(owner)
+    d = dense_rerank(protos) if rerank else np.clip(1 - protos @ protos.T, 0, 2)
+    n = len(tracks)
+    whole = np.array([[0.0 if a == b else d[np.ix_(owner == a, owner == b)].min() for b in range(n)] for a in range(n)])
+    frames = [{r[3] for r in rows if (r[1], r[2]) == t} for t in tracks]
+    for a in range(n):
+        for b in range(n):
+            if a != b and tracks[a][0] == tracks[b][0] and frames[a] & frames[b]:
+                whole[a, b] = np.inf
+    valid = whole[np.isfinite(whole) & (whole > 0)]
+    epsilon, gate = max(np.percentile(valid, 5), 0.18), np.percentile(valid, 15)
+    labels, _ = C.density_labels(whole, 2, 1, epsilon)
+    for x in range(n):
+        if labels[x] < 0:
+            means = [(whole[x, labels == c].mean(), c) for c in sorted(set(labels.tolist()) - {-1})]
+            if means and min(means)[0] <= gate:
+                labels[x] = min(means)[1]
+    got = {(r.clip_id, r.track_id): r for r in persons.density_persons(spark.createDataFrame(rows, SCHEMA), DIMS, rerank=rerank).collect()}
+    assert set(got) == set(tracks)
+    for a in range(n):
+        assert got[tracks[a]].in_cluster == (labels[a] >= 0)
+        for b in range(a):
+            assert (got[tracks[a]].global_id == got[tracks[b]].global_id) == (labels[a] == labels[b] >= 0)
+
+
+@pytest.mark.parametrize("linkage", ["representative", "min", "mean"])
+def test_graph_run_by_linkage(spark, linkage):
+    det = planted(spark).withColumn("timestamp_sec", F.col("frame_num") / 30.0)
+    got = {(r.clip_id, r.track_id): r.global_id for r in persons.graph_persons(det, DIMS, 0.2, linkage=linkage, temporal=0.01).collect()}
+    assert all(got["a", k] == got["b", 5 + k] for k in range(3)) and len(set(got.values())) == 3
+    apart = persons.graph_persons(det, DIMS, 0.2, linkage=linkage, temporal=9.0).collect()
+    assert len({r.global_id for r in apart}) > 3  # no place alike, no link
+
+
+def test_exact_quantiles(spark):
+    from loomtrace.operators.order import exact_quantiles
+
+    rng = np.random.default_rng(2)
+    x = np.concatenate([rng.random(300), np.full(200, 0.25), [5.0]])
+    df = spark.createDataFrame([(float(v),) for v in x] + [(None,)], "d double")
+    for copies in (1, 2):
+        for most in (10, 10**6):
+            assert exact_quantiles(df, "d", (0.0, 0.1, 0.5, 1.0), copies, most) == pytest.approx(np.quantile(np.repeat(x, copies), (0.0, 0.1, 0.5, 1.0)))
+    assert exact_quantiles(df.limit(0), "d", (0.5,)) is None
