@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir), works on all rows that its predecessor kept and returns a
 DataFrame; all but the last return the columns of ``documents``.
+
+Defined cases: a null or empty text fails the quality rules and goes; a null language is judged by the nearest
+reference; rows are known to near-dedup by doc_id and text, so of repeated rows one stays, unlike texts under one
+doc_id are judged apart, and rows with a null doc_id stay; of a group the row of least doc_id stays, on a tie the
+text of least hash; a null or empty benchmark drops nothing; very long texts are worked on whole and cut into pieces
+only by packing; an empty table gives no rows; extra columns are carried up to packing, which does not read them.
 """
 
 from __future__ import annotations
