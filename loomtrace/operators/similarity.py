@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomtrace.functions import vectors
-from loomtrace.runtime import ship_package
+from loomtrace.runtime import materialise, ship_package
 
 BLOCK_ROWS = 512
 
@@ -285,6 +285,7 @@ def rerank(vecs: DataFrame, k1: int = 20, k2: int = 6, weight: float = 0.3, whol
     soft = soft.select("i", "j", (F.col("e") / F.sum("e").over(Window.partitionBy("i"))).alias("x"))
     first = near.where(F.col("rank") < k2).select("i", F.col("j").alias("q"))
     mixed = first.join(soft.select(F.col("i").alias("q"), "j", "x"), "q").groupBy("i", "j").agg((F.sum("x") / k2).alias("x"))
+    mixed = materialise(mixed, "mixed-neighbours")
     other = mixed.select(F.col("i").alias("k"), "j", F.col("x").alias("y"))
     meet = mixed.join(other, "j").where("i < k").groupBy("i", "k").agg(F.sum(F.least("x", "y")).alias("m")).withColumnRenamed("k", "j")
     there = original(meet).withColumnRenamed("o", "o1")
