@@ -444,3 +444,39 @@ def test_pair_summary_equals_brute_force(spark, block_rows, most):
     assert least == {(a, b): pytest.approx(full[np.ix_(tags == a, tags == b)].min()) for a in range(3) for b in range(a + 1, 3)}
     pairs = {(r.i, r.j) for r in S.radius_join(frame.select("id", "v"), 0.4, block_rows).collect()}
     assert pairs == {(a, b) for a, b, y in zip(i.tolist(), j.tolist(), d.tolist(), strict=True) if y <= 0.4}
+
+
+def test_pca_equals_the_eigenvectors(spark):
+    from loomtrace.plans import registry
+    from loomtrace.sources import tables
+    from tests.conftest import SMALL
+
+    rows = tables.embeddings(spark, SMALL).orderBy("vec_id").collect()
+    x = np.array([r.v for r in rows])
+    _, axes = np.linalg.eigh(np.cov(x.T))
+    axes = axes[:, ::-1][:, :2]
+    axes = axes * np.sign(axes[np.abs(axes).argmax(0), [0, 1]])
+    got = {r.vec_id: (r.c0, r.c1) for r in registry.QUERIES["pca_2d"](spark, SMALL).collect()}
+    assert len(got) == len(rows)
+    assert np.allclose([got[r.vec_id] for r in rows], x @ axes, atol=2e-5)
+
+
+def test_identity_assignment_is_optimal(spark):
+    from collections import Counter
+
+    from loomtrace.plans import registry
+    from loomtrace.sources import tables
+    from tests.conftest import SMALL
+
+    cells = Counter((r.gt, r.pred) for r in tables.eval_items(spark, SMALL).collect())
+    preds, best = sorted({p for _, p in cells}), {0: 0}
+    for g in sorted({g for g, _ in cells}):  # most overlap for every set of taken predictions
+        after = dict(best)
+        for taken, value in best.items():
+            for k, p in enumerate(preds):
+                if not taken >> k & 1 and cells[g, p]:
+                    after[taken | 1 << k] = max(after.get(taken | 1 << k, 0), value + cells[g, p])
+        best = after
+    rows = registry.QUERIES["identity_assignment"](spark, SMALL).collect()
+    assert len({r.gt for r in rows}) == len({r.pred for r in rows}) == len(rows)
+    assert all(r.n == cells[r.gt, r.pred] > 0 for r in rows) and sum(r.n for r in rows) == max(best.values())
