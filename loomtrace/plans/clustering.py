@@ -14,7 +14,7 @@ from loomtrace.operators.graph import connected_components
 from loomtrace.operators.order import numbered
 from loomtrace.plans.detections import histograms
 from loomtrace.plans.registry import query
-from loomtrace.plans.similarity import DOT_SQL, near
+from loomtrace.plans.similarity import DOT_SQL, near, vecs
 from loomtrace.plans.tracklets import ISLANDS_SQL, MIN_FRAMES
 from loomtrace.runtime import materialise
 from loomtrace.sources import tables
@@ -69,7 +69,7 @@ def kmedoids_prototypes(spark, sf_dir):
 @query()
 def hdbscan_clusters(spark, sf_dir):
     nodes = _nodes(spark, sf_dir)
-    out = C.density_clusters(near(spark, sf_dir, S.ALL), nodes, 0.6)
+    out = C.density_clusters(S.forest(vecs(spark, sf_dir)), nodes, 0.6)
     return out.select("id", "label", F.round("probability", 5).alias("probability"))
 
 

@@ -480,3 +480,23 @@ def test_identity_assignment_is_optimal(spark):
     rows = registry.QUERIES["identity_assignment"](spark, SMALL).collect()
     assert len({r.gt for r in rows}) == len({r.pred for r in rows}) == len(rows)
     assert all(r.n == cells[r.gt, r.pred] > 0 for r in rows) and sum(r.n for r in rows) == max(best.values())
+
+
+def test_forest_of_blocks_is_that_of_all_pairs(spark):
+    x = unit(60, 5, 8)
+    x[40:46] = x[3]  # copies: their order among equal distances is by id
+    d = np.clip(1 - x @ x.T, 0, 2)
+    np.fill_diagonal(d, 0.0)
+    got = S.forest(vec_frame(spark, x), block_rows=9)
+    rows = got.collect()
+    assert len(rows) == 59 and all(r.i < r.j and math.isclose(r.d, d[r.i, r.j], abs_tol=1e-12) for r in rows)
+    assert sum(r.d for r in rows) == pytest.approx(sum(C.dense_forest(np.arange(60), np.arange(60), np.where(np.eye(60), np.inf, d))[2]))
+    want, _ = C.density_labels(d, 2, 1, 0.1)
+    assert _partition({r.id: r.label for r in C.density_clusters(got, spark.range(60), 0.1).collect()}) == _partition(dict(enumerate(want.tolist())))
+
+
+def test_many_splits_cost_no_square():
+    # Pairs that split off one after the other: lists of all points at every split would hold 25 million.
+    gaps = (np.tile([1e-3, 1.0], 5000) * np.linspace(1, 2, 10000))[:9999]
+    labels, _ = C.forest_labels(10000, np.arange(9999), np.arange(1, 10000), gaps)
+    assert labels.max() == 4999 and (labels[::2] == labels[1::2]).all()
