@@ -75,10 +75,10 @@ def hdbscan_clusters(spark, sf_dir):
 
 @query()
 def noise_reassign(spark, sf_dir):
-    pairs = near(spark, sf_dir, S.ALL)
-    labels = C.density_clusters(pairs, _nodes(spark, sf_dir), 0.6)
-    nodes = histograms(spark, sf_dir).select(F.col("vec_id").alias("id"), "hist")
-    return C.reassign_noise(nodes, labels, pairs, 0.74).select("id", "label", F.round("probability", 5).alias("probability"))
+    items = vecs(spark, sf_dir)
+    labels = materialise(C.density_clusters(S.forest(items), _nodes(spark, sf_dir), 0.6), "density-labels")
+    colours = histograms(spark, sf_dir).select(F.col("vec_id").alias("id"), "hist")
+    return C.reassign_near(items, S.cosine, labels, colours, 0.74).select("id", "label", F.round("probability", 5).alias("probability"))
 
 
 @query()

@@ -500,3 +500,19 @@ def test_many_splits_cost_no_square():
     gaps = (np.tile([1e-3, 1.0], 5000) * np.linspace(1, 2, 10000))[:9999]
     labels, _ = C.forest_labels(10000, np.arange(9999), np.arange(1, 10000), gaps)
     assert labels.max() == 4999 and (labels[::2] == labels[1::2]).all()
+
+
+def test_noise_in_batches_equals_given_pairs(spark, monkeypatch):
+    monkeypatch.setattr(C, "BATCH", 4)
+    rng = np.random.default_rng(4)
+    x = np.repeat(np.eye(3), 14, axis=0) + rng.normal(0, 0.3, (42, 3))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    vecs = vec_frame(spark, x)
+    rows = [(k, int(k // 14) if k % 14 < 4 else -1, 0.25) for k in range(42)]
+    labels = spark.createDataFrame(rows, "id long, label int, probability double")
+    colours = spark.createDataFrame([(k, None if k % 5 == 0 else rng.dirichlet([0.6, 0.6, 0.6]).tolist()) for k in range(42)], "id long, hist array<double>")
+    want = C.reassign_noise(colours, labels, S.radius_join(vecs, S.ALL), 0.4, 0.3).collect()
+    got = C.reassign_near(vecs, S.cosine, labels, colours, 0.4, colour_limit=0.3).collect()
+    assert {tuple(r) for r in got} == {tuple(r) for r in want} and {r.label for r in got if r.id % 14 >= 4} == {-1, 0, 1, 2}
+    none = labels.withColumn("label", F.lit(-1))
+    assert {r.label for r in C.reassign_near(vecs, S.cosine, none, colours, 0.4).collect()} == {-1}
