@@ -173,3 +173,20 @@ def test_exact_quantiles(spark):
         for most in (10, 10**6):
             assert exact_quantiles(df, "d", (0.0, 0.1, 0.5, 1.0), copies, most) == pytest.approx(np.quantile(np.repeat(x, copies), (0.0, 0.1, 0.5, 1.0)))
     assert exact_quantiles(df.limit(0), "d", (0.5,)) is None
+
+
+def test_least_of_owners(spark):
+    from loomtrace.operators import similarity as S
+
+    x = np.random.default_rng(6).normal(size=(90, 4))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    codes = [[int(k // 3 % 4), 100 + k // 3] for k in range(90)]  # thirty owners of three; four kinds that must not meet
+    rows = spark.createDataFrame([(k, v.tolist(), k // 3, codes[k]) for k, v in enumerate(x)], "id long, v array<double>, owner long, codes array<long>")
+    d = np.clip(1 - x @ x.T, 0, 2).reshape(30, 3, 30, 3).min((1, 3))
+    kind = np.arange(30) % 4
+    d[kind[:, None] == kind[None, :]] = np.inf
+    got = {(r.i, r.j): r.d for r in S.forest(rows, S.least_of_owners(S.cosine), "owner", 20).collect()}
+    i, j, w = S.dense_forest(np.arange(30), np.arange(30), d.copy())
+    assert got == pytest.approx(dict(zip(zip(i.tolist(), j.tolist(), strict=True), w.tolist(), strict=True)))
+    valid = np.repeat(d[np.isfinite(d) & (np.arange(30)[:, None] < np.arange(30)[None, :])], 2)
+    assert S.adaptive_limits(rows, 0.0, S.least_of_owners(S.cosine), "owner") == pytest.approx(tuple(np.quantile(valid, (0.05, 0.15))))
