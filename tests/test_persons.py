@@ -190,3 +190,16 @@ def test_least_of_owners(spark):
     assert got == pytest.approx(dict(zip(zip(i.tolist(), j.tolist(), strict=True), w.tolist(), strict=True)))
     valid = np.repeat(d[np.isfinite(d) & (np.arange(30)[:, None] < np.arange(30)[None, :])], 2)
     assert S.adaptive_limits(rows, 0.0, S.least_of_owners(S.cosine), "owner") == pytest.approx(tuple(np.quantile(valid, (0.05, 0.15))))
+
+
+def test_reranked_distances_need_no_table(spark):
+    from loomtrace.operators import similarity as S
+
+    x = np.random.default_rng(12).normal(size=(50, 5))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    d = dense_rerank(x, 8, 3)
+    np.fill_diagonal(d, np.inf)
+    items, distance = S.rerank_items(spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "id long, v array<double>"), 8, 3)
+    got = {(r.i, r.j): r.d for r in S.forest(items, distance, block_rows=13).collect()}
+    i, j, w = S.dense_forest(np.arange(50), np.arange(50), d.copy())
+    assert got == pytest.approx(dict(zip(zip(i.tolist(), j.tolist(), strict=True), w.tolist(), strict=True)))
