@@ -64,6 +64,56 @@ def torso_histogram(image, box):
     return np.bincount(np.ravel_multi_index(place, HIST_BINS), minlength=bins) / len(pixels)
 
 
+#: Boxes and tracks that are compared at once.
+NEW_BOXES, OLD_BOXES = 64, 1 << 15
+
+
+def overlaps(old, boxes, least_iou: float):
+    """(row of old, row of boxes, intersection over union) of pairs that reach least_iou; pairs apart in x are not formed."""
+    import numpy as np
+
+    area = lambda b: (b[:, 2] - b[:, 0]) * (b[:, 3] - b[:, 1])
+    order, by = np.argsort(boxes[:, 0], kind="stable"), np.argsort(old[:, 0], kind="stable")
+    left, reach = old[by, 0], np.maximum.accumulate(old[by, 2])
+    cut = least_iou > 0 and bool(np.isfinite(old).all() and np.isfinite(boxes).all())
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    for at in range(0, len(order), NEW_BOXES):
+        new = order[at : at + NEW_BOXES]
+        low = int(np.searchsorted(reach, boxes[new, 0].min(), "left")) if cut else 0
+        end = int(np.searchsorted(left, boxes[new, 2].max(), "right")) if cut else len(by)
+        for start in range(low, end, OLD_BOXES):
+            held = by[start : min(start + OLD_BOXES, end)]
+            a, b = old[held], boxes[new]
+            wide = np.clip(np.minimum(a[:, None, 2], b[None, :, 2]) - np.maximum(a[:, None, 0], b[None, :, 0]), 0, None)
+            tall = np.clip(np.minimum(a[:, None, 3], b[None, :, 3]) - np.maximum(a[:, None, 1], b[None, :, 1]), 0, None)
+            both = wide * tall
+            iou = both / np.maximum(area(a)[:, None] + area(b)[None] - both, 1e-12)
+            x, y = np.nonzero(iou >= least_iou)
+            found.append((held[x], new[y], iou[x, y]))
+    return tuple(np.concatenate(f) for f in zip(*found, strict=True))
+
+
+def best_first(t, b, iou):
+    """The pairs (t, b) that are taken when the largest iou goes first (ties: t, then b) and each t and b is taken once.
+
+    A round takes every pair that comes first for both its sides, so few rounds replace the walk over all pairs."""
+    import numpy as np
+
+    order = np.lexsort((b, t, -iou))
+    t, b, taken = t[order], b[order], [(t[:0], b[:0])]
+    while len(t):
+        rank = np.arange(len(t))
+        best = np.ones(len(t), bool)
+        for side in (t, b):
+            first = np.zeros(side.max() + 1, np.int64)
+            first[side[::-1]] = rank[::-1]
+            best &= first[side] == rank
+        taken.append((t[best], b[best]))
+        kept = ~(np.isin(t, t[best]) | np.isin(b, b[best]))
+        t, b = t[kept], b[kept]
+    return tuple(np.concatenate(x) for x in zip(*taken, strict=True))
+
+
 def track_boxes(det: DataFrame, least_iou: float = 0.3, max_age: int = 60) -> DataFrame:
     """(event_id, local_track): each box continues the live track of its clip that it overlaps most, or opens one.
 
@@ -82,32 +132,20 @@ def track_boxes(det: DataFrame, least_iou: float = 0.3, max_age: int = 60) -> Da
         import numpy as np
         import pandas as pd
 
-        live: list[list] = []  # first event, last frame, box
+        first, last, box = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, 4))  # of live tracks, older ones first
         out = []
         for frame, now in pdf.sort_values(["frame_num", "event_id"]).groupby("frame_num", sort=True):
-            live = [t for t in live if frame - t[1] <= max_age]
-            boxes, ids = now[["x1", "y1", "x2", "y2"]].to_numpy(), now["event_id"].tolist()
-            taken: set[int] = set()
-            given: dict[int, list] = {}
-            if live:
-                old = np.array([t[2] for t in live])
-                wide = np.clip(np.minimum(old[:, None, 2], boxes[None, :, 2]) - np.maximum(old[:, None, 0], boxes[None, :, 0]), 0, None)
-                tall = np.clip(np.minimum(old[:, None, 3], boxes[None, :, 3]) - np.maximum(old[:, None, 1], boxes[None, :, 1]), 0, None)
-                area = lambda b: (b[:, 2] - b[:, 0]) * (b[:, 3] - b[:, 1])
-                both = wide * tall
-                iou = both / np.maximum(area(old)[:, None] + area(boxes)[None] - both, 1e-12)
-                t, b = np.nonzero(iou >= least_iou)
-                for k in np.lexsort((b, t, -iou[t, b])).tolist():
-                    if int(t[k]) not in taken and int(b[k]) not in given:
-                        taken.add(int(t[k]))
-                        given[int(b[k])] = live[t[k]]
-            for k, event in enumerate(ids):
-                if k in given:
-                    given[k][1:] = [frame, boxes[k]]
-                else:
-                    live.append([event, frame, boxes[k]])
-                    given[k] = live[-1]
-                out.append((event, given[k][0]))
-        return pd.DataFrame(out, columns=["event_id", "local_track"])
+            alive = frame - last <= max_age
+            first, last, box = first[alive], last[alive], box[alive]
+            boxes, ids = now[["x1", "y1", "x2", "y2"]].to_numpy(), now["event_id"].to_numpy()
+            t, b = best_first(*overlaps(box, boxes, least_iou))
+            last[t], box[t] = frame, boxes[b]
+            given = ids.copy()
+            given[b] = first[t]
+            new = np.ones(len(ids), bool)
+            new[b] = False
+            first, last, box = np.concatenate([first, ids[new]]), np.concatenate([last, np.full(new.sum(), frame)]), np.concatenate([box, boxes[new]])
+            out.append(pd.DataFrame({"event_id": ids, "local_track": given}))
+        return pd.concat(out)
 
     return rows.groupBy("clip_id", "part").applyInPandas(run, "event_id long, local_track long")

@@ -175,6 +175,28 @@ def test_exact_quantiles(spark):
     assert exact_quantiles(df.limit(0), "d", (0.5,)) is None
 
 
+def test_boxes_in_chunks_and_rounds_equal_the_walk(monkeypatch):
+    rng = np.random.default_rng(9)
+    for size in (0, 3, 200):
+        corner = rng.integers(0, 60, (size + 150, 2))
+        boxes = np.hstack([corner, corner + rng.integers(5, 25, (size + 150, 2))]).astype(float)
+        old, new = boxes[:size], boxes[size:]
+        monkeypatch.setattr(models, "NEW_BOXES", 7)
+        monkeypatch.setattr(models, "OLD_BOXES", 11)
+        wide = np.clip(np.minimum(old[:, None, 2:], new[None, :, 2:]) - np.maximum(old[:, None, :2], new[None, :, :2]), 0, None).prod(-1)
+        area = lambda b: (b[:, 2:] - b[:, :2]).prod(-1)
+        iou = wide / (area(old)[:, None] + area(new)[None] - wide)
+        t, b, share = models.overlaps(old, new, 0.3)
+        assert sorted(zip(t.tolist(), b.tolist(), strict=True)) == [tuple(x) for x in np.argwhere(iou >= 0.3).tolist()]
+        want, used = [], (set(), set())
+        for _, x, y in sorted((-iou[x, y], x, y) for x, y in np.argwhere(iou >= 0.3).tolist()):
+            if x not in used[0] and y not in used[1]:
+                want.append((x, y))
+                used[0].add(x)
+                used[1].add(y)
+        assert sorted(zip(*(v.tolist() for v in models.best_first(t, b, share)), strict=True)) == sorted(want)
+
+
 def test_least_of_owners(spark):
     from loomtrace.operators import similarity as S
 
