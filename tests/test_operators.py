@@ -540,3 +540,18 @@ def test_digest_beyond_a_long(spark, monkeypatch):
     monkeypatch.setattr(tables, "detections", lambda *_: det)
     (row,) = P.cooccurrence_join(spark, "").collect()
     assert (row.n_pairs, row.digest) == (15, sum((big + a) * 1000003 + big + b for a, b in itertools.combinations(range(6), 2)))
+
+
+@pytest.mark.parametrize("most", [0, 1 << 28])
+@pytest.mark.parametrize("constrained", [True, False])
+def test_presence_is_cooccurrence(monkeypatch, constrained, most):
+    monkeypatch.setattr(C, "MASK_BYTES", most)
+    draw = random.Random(17)
+    items = [(f"c{draw.randrange(3)}", [(s := draw.randrange(900), s + draw.randrange(60)) for _ in range(draw.randint(1, 4))]) for _ in range(80)]
+    flat = [(k, s, e) for k, (_, ranges) in enumerate(items) for s, e in ranges]
+    seen = C.Presence(np.array([c for c, _ in items]), *(np.array(x) for x in zip(*flat, strict=True)), constrained)
+    a, b = np.divmod(np.arange(6400), 80)
+    want = [x[0] == y[0] and (not constrained or any(p[0] <= q[1] and q[0] <= p[1] for p in x[1] for q in y[1])) for x in items for y in items]
+    assert seen.clash(a, b).tolist() == want
+    seen.add(3, 4)
+    assert seen.clash(np.full(80, 3), np.arange(80)).tolist() == [want[240 + k] or want[320 + k] for k in range(80)]
