@@ -555,3 +555,29 @@ def test_presence_is_cooccurrence(monkeypatch, constrained, most):
     assert seen.clash(a, b).tolist() == want
     seen.add(3, 4)
     assert seen.clash(np.full(80, 3), np.arange(80)).tolist() == [want[240 + k] or want[320 + k] for k in range(80)]
+
+
+def test_steps_go_over_batches(spark, monkeypatch):
+    monkeypatch.setattr(C, "STEP_ROWS", 5)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    draw = random.Random(23)
+    nodes = [(k, f"c{draw.randrange(6)}", [(s := draw.randrange(60), s + 6)]) for k in range(60)]
+    edges = [(i, j, round(draw.random(), 2)) for i, j in itertools.combinations(range(60), 2) if draw.random() < 0.3]
+    held, pairs = spark.createDataFrame(nodes, NODE), spark.createDataFrame(edges, "i long, j long, d double")
+    try:
+        labels = C.greedy_clusters(held, pairs, 0.2)
+        found = {r.id: r.label for r in labels.collect()}
+        merged = {r.id: r.label for r in C.merge_singletons(held, labels, pairs, 0.6).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert found == greedy(nodes, edges, 0.2, True)
+    near = {}
+    for i, j, d in edges:
+        near[i, j] = near[j, i] = d
+    meet = lambda x, y: nodes[x][1] == nodes[y][1] and nodes[x][2][0][0] <= nodes[y][2][0][1] and nodes[y][2][0][0] <= nodes[x][2][0][1]
+    want = dict(found)
+    for x in range(60):
+        if found[x] == -1:
+            best = sorted((min(near.get((x, m), 9.0) for m in want if want[m] == c), c) for c in set(want.values()) - {-1})
+            want[x] = next((c for d, c in best if d <= 0.6 and not any(meet(x, m) for m in want if want[m] == c)), -1)
+    assert merged == want and merged != found
