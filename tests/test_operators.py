@@ -581,3 +581,11 @@ def test_steps_go_over_batches(spark, monkeypatch):
             best = sorted((min(near.get((x, m), 9.0) for m in want if want[m] == c), c) for c in set(want.values()) - {-1})
             want[x] = next((c for d, c in best if d <= 0.6 and not any(meet(x, m) for m in want if want[m] == c)), -1)
     assert merged == want and merged != found
+
+
+def test_nearest_among_many_copies(spark):
+    x = np.repeat(unit(3, 4, 2), 12, axis=0)
+    got = S.nearest(vec_frame(spark, x), 3, 10).collect()
+    first = {r.i: r.j for r in got if r["rank"] == 0}
+    assert first == {k: k for k in range(36)}  # itself, though smaller ids lie as near
+    assert all(r.i // 12 == r.j // 12 for r in got) and len(got) == 36 * 4
