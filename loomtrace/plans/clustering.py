@@ -164,7 +164,7 @@ def _first_apart(det, tr):
     Candidates are tried in order, a growing stretch of them a round; only tracklets that found none go on, so no
     list of meeting pairs is made."""
     spans = T.frame_ranges(det).groupBy("clip_id", "track_id").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
-    placed = materialise(numbered(tr, ["clip_id", "gid", "track_id"], "r").join(spans, ["clip_id", "track_id"]), "placed")
+    placed = materialise(numbered(tr, ["clip_id", "gid", "track_id"], "r").join(spans.hint("merge"), ["clip_id", "track_id"]), "placed")
     clips = placed.groupBy("clip_id").agg(F.min("r").alias("at"), F.max("r").alias("last"))
     pending = placed.join(F.broadcast(clips) if clips.count() <= 100_000 else clips, "clip_id").select("clip_id", "track_id", "gid", "spans", "at", "last")
     tried = placed.select(F.col("r").alias("c"), F.col("gid").alias("other"), F.col("track_id").alias("nt"), F.col("spans").alias("theirs"))
@@ -172,10 +172,10 @@ def _first_apart(det, tr):
     found, width = None, 8
     while True:
         probes = pending.withColumn("c", F.explode(F.sequence("at", F.least(F.col("at") + width - 1, F.col("last")))))
-        apart = probes.join(tried, "c").where((F.col("gid") != F.col("other")) & ~meet)
+        apart = probes.join(tried.hint("merge"), "c").where((F.col("gid") != F.col("other")) & ~meet)
         apart = materialise(apart.groupBy("clip_id", "track_id").agg(F.min_by("nt", "c").alias("nt")), "apart")
         found = apart if found is None else found.unionByName(apart)
-        pending = pending.join(apart.select("clip_id", "track_id"), ["clip_id", "track_id"], "left_anti").withColumn("at", F.col("at") + width).where(F.col("at") <= F.col("last"))
+        pending = pending.join(apart.select("clip_id", "track_id").hint("merge"), ["clip_id", "track_id"], "left_anti").withColumn("at", F.col("at") + width).where(F.col("at") <= F.col("last"))
         pending = materialise(pending, "pending")
         if pending.isEmpty():
             return found
@@ -197,7 +197,8 @@ def triplet_mining(spark, sf_dir):
 
     The positive is the person's first other tracklet; where there is none, the tracklet's last detection, with its
     first as the anchor. The negative is the first other person of the clip never in view together; where there is
-    none, the first tracklet of another person anywhere."""
+    none, the first tracklet of another person anywhere. Tables of all tracklets are small as files and large in
+    memory, so their joins ask for a merge: none is to be broadcast."""
     columns = ("event_id", "clip_id", "track_id", "frame_num", "quality", "confidence")
     det = materialise(tables.detections(spark, sf_dir).select(*columns), "triplet-detections")
     rank = F.struct(F.coalesce(F.nullif("quality", F.lit(0.0)), F.nullif("confidence", F.lit(0.0)), F.lit(0.0)), -F.col("frame_num"), -F.col("event_id"))
@@ -214,13 +215,13 @@ def triplet_mining(spark, sf_dir):
     lead = tr.agg(F.min(placed_all).alias("lead"))
     rest = tr.crossJoin(F.broadcast(lead)).where(F.col("gid") != F.col("lead.gid")).agg(F.min(placed_all).alias("rest"))  # one row each
     ends = frames.ends_by_frame(det)
-    rows = tr.join(pos.select("clip_id", "track_id", F.col("p.clip_id").alias("pc"), F.col("p.track_id").alias("pt")), ["clip_id", "track_id"], "left")
-    rows = rows.join(neg.select("clip_id", "track_id", "nt"), ["clip_id", "track_id"], "left").crossJoin(F.broadcast(lead)).crossJoin(F.broadcast(rest))
+    rows = tr.join(pos.select("clip_id", "track_id", F.col("p.clip_id").alias("pc"), F.col("p.track_id").alias("pt")).hint("merge"), ["clip_id", "track_id"], "left")
+    rows = rows.join(neg.select("clip_id", "track_id", "nt").hint("merge"), ["clip_id", "track_id"], "left").crossJoin(F.broadcast(lead)).crossJoin(F.broadcast(rest))
     other = F.when(F.col("gid") == F.col("lead.gid"), F.col("rest")).otherwise(F.col("lead"))
     rows = rows.withColumn("nc", F.when(F.col("nt").isNull(), other["clip_id"]).otherwise(F.col("clip_id"))).withColumn("nt", F.coalesce("nt", other["track_id"])).drop("lead", "rest")
-    rows = rows.join(best.withColumnRenamed("event_id", "top"), ["clip_id", "track_id"]).join(ends, ["clip_id", "track_id"], "left")
-    rows = rows.join(best.select(F.col("clip_id").alias("pc"), F.col("track_id").alias("pt"), F.col("event_id").alias("twin")), ["pc", "pt"], "left")
-    rows = rows.join(best.select(F.col("clip_id").alias("nc"), F.col("track_id").alias("nt"), F.col("event_id").alias("negative")), ["nc", "nt"])
+    rows = rows.join(best.withColumnRenamed("event_id", "top").hint("merge"), ["clip_id", "track_id"]).join(ends.hint("merge"), ["clip_id", "track_id"], "left")
+    rows = rows.join(best.select(F.col("clip_id").alias("pc"), F.col("track_id").alias("pt"), F.col("event_id").alias("twin")).hint("merge"), ["pc", "pt"], "left")
+    rows = rows.join(best.select(F.col("clip_id").alias("nc"), F.col("track_id").alias("nt"), F.col("event_id").alias("negative")).hint("merge"), ["nc", "nt"])
     alone = F.col("twin").isNull()
     rows = rows.select(F.when(alone, F.col("first_event")).otherwise(F.col("top")).alias("anchor"), F.coalesce("twin", "last_event").alias("positive"), "negative")
     return rows.where("positive is not null")

@@ -589,3 +589,11 @@ def test_nearest_among_many_copies(spark):
     first = {r.i: r.j for r in got if r["rank"] == 0}
     assert first == {k: k for k in range(36)}  # itself, though smaller ids lie as near
     assert all(r.i // 12 == r.j // 12 for r in got) and len(got) == 36 * 4
+
+
+def test_triplets_broadcast_no_table_of_tracklets(spark):
+    from loomtrace.plans.registry import clustering as P
+    from tests.conftest import SMALL
+
+    plan = P.triplet_mining(spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("strategy=merge") >= 6
