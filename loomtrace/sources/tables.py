@@ -13,6 +13,8 @@ FRAME_US = 21_600_000_000
 FPS = 30.0
 WIDTH, HEIGHT = 1280, 720
 DIMS = 64
+#: So many embeddings (256 bytes each) are broadcast at most.
+BROADCAST_VECTORS = 150_000
 
 DETECTION_SCHEMA = (
     "clip_id string, video_path string, frame_num int, track_id int, embeddings array<float>, confidence double, det_confidence double, "
@@ -96,7 +98,13 @@ def detections(spark: SparkSession, sf_dir: str, vectors: bool = False) -> DataF
     )
     out = out.withColumn("x2", F.col("x1") + F.col("w")).withColumn("y2", F.col("y1") + F.col("h"))
     out = out.withColumn("timestamp_sec", (F.col("frame_num") - 1) / FPS)
-    return out.join(embeddings(spark, sf_dir).select("vec_id", "v"), "vec_id") if vectors else out
+    if not vectors:
+        return out
+    held = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    if held.count() <= BROADCAST_VECTORS:
+        # Detections are dealt to their tracklets first and meet their vectors there: no vector is shuffled.
+        out, held = out.repartition("clip_id", "track_id"), F.broadcast(held)
+    return out.join(held, "vec_id").withColumn("v", F.col("embedding").cast("array<double>")).drop("embedding")
 
 
 def eval_items(spark: SparkSession, sf_dir: str) -> DataFrame:

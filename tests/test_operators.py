@@ -597,3 +597,11 @@ def test_triplets_broadcast_no_table_of_tracklets(spark):
 
     plan = P.triplet_mining(spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("strategy=merge") >= 6
+
+
+def test_vectors_meet_detections_where_they_are_windowed(spark):
+    from tests.conftest import SMALL
+
+    plan = T.smooth(tables.detections(spark, SMALL, vectors=True), 4)._jdf.queryExecution().executedPlan().toString()
+    above = plan[: plan.index("BroadcastHashJoin")]
+    assert "Window" in above and "Exchange hashpartitioning" not in above
