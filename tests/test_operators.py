@@ -605,3 +605,8 @@ def test_vectors_meet_detections_where_they_are_windowed(spark):
     plan = T.smooth(tables.detections(spark, SMALL, vectors=True), 4)._jdf.queryExecution().executedPlan().toString()
     above = plan[: plan.index("BroadcastHashJoin")]
     assert "Window" in above and "Exchange hashpartitioning" not in above
+
+
+def test_pairs_of_blocks_are_not_shuffled(spark):
+    plan = S.radius_join(vec_frame(spark, unit(50, 4, 3)), 0.5, 10)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Exchange" not in plan
