@@ -225,3 +225,15 @@ def test_reranked_distances_need_no_table(spark):
     got = {(r.i, r.j): r.d for r in S.forest(items, distance, block_rows=13).collect()}
     i, j, w = S.dense_forest(np.arange(50), np.arange(50), d.copy())
     assert got == pytest.approx(dict(zip(zip(i.tolist(), j.tolist(), strict=True), w.tolist(), strict=True)))
+
+
+def test_prototypes_are_packed_once(spark, monkeypatch):
+    """Limits, tree and noise read the same blocks: no further copy of the prototypes is written."""
+    from loomtrace.operators import similarity as S
+
+    names, write = [], S.materialise
+    monkeypatch.setattr(S, "materialise", lambda df, name, **o: names.append((name, "owner" in df.schema.simpleString())) or write(df, name, **o))
+    monkeypatch.setattr(persons, "materialise", lambda df, name, **o: names.append((name, "owner" in df.columns)) or write(df, name, **o))
+    rows = spark.createDataFrame(drawn(5, 3), SCHEMA)
+    assert persons.density_persons(rows, DIMS, rerank=True).count() == 20
+    assert [x for x in names if x[1]] == [("blocks", True)]
