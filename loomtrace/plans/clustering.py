@@ -45,8 +45,9 @@ def greedy_cluster(spark, sf_dir):
 @query()
 def singleton_merge(spark, sf_dir):
     nodes = _nodes(spark, sf_dir)
-    labels = C.greedy_clusters(nodes, near(spark, sf_dir, EPS), EPS)
-    return C.merge_singletons(nodes, labels, near(spark, sf_dir, 0.7), 0.7)
+    labels = materialise(C.greedy_clusters(nodes, near(spark, sf_dir, EPS), EPS), "greedy-labels")
+    marked = vecs(spark, sf_dir).join(labels.select("id", (F.col("label") == C.NOISE).alias("open")), "id")
+    return C.merge_singletons(nodes, labels, S.radius_join(marked, 0.7), 0.7)
 
 
 @query("""WITH labels AS (SELECT vec_id AS id, CASE WHEN vec_id % 4 = 0 THEN -1 ELSE label END AS label FROM embeddings), k AS (SELECT count(DISTINCT label) AS n FROM labels WHERE label >= 0)

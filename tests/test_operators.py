@@ -636,3 +636,31 @@ def test_each_vector_leaves_the_search_once(spark):
     ids = sorted({r.i for r in rows})
     want = {(ids[i], ids[j]) for i in range(240) for j in sorted(range(240), key=lambda j: (-s[i, j], j))[:5]}  # noqa: B023
     assert {(r.i, r.j) for r in rows} == want
+
+
+def test_pairs_without_an_open_end_are_left_out(spark):
+    x = unit(60, 4, 8)
+    vecs = vec_frame(spark, x)
+    pairs = {(r.i, r.j) for r in S.radius_join(vecs, 0.6, 20).collect()}
+    got = {(r.i, r.j) for r in S.radius_join(vecs.withColumn("open", F.col("id") % 9 == 0), 0.6, 20).collect()}
+    assert got == {p for p in pairs if p[0] % 9 == 0 or p[1] % 9 == 0} and got != pairs
+
+
+def test_edges_come_packed_to_the_step(spark, monkeypatch):
+    """Rows in order of (d, id, j) over several ranges; the one task sorts packed rows, not edges."""
+    from loomtrace.operators import cluster as C
+
+    rng = np.random.default_rng(4)
+    rows = [(int(i), int(j), float(d)) for i, j, d in zip(rng.integers(0, 50, 5000), rng.integers(0, 50, 5000), rng.random(5000).round(2), strict=True)]
+    edges = spark.createDataFrame(rows, "id long, j long, d double")
+    nodes = spark.createDataFrame([(k, "c", [(k, k)]) for k in range(50)], "id long, clip string, ranges array<struct<s:long,e:long>>")
+
+    def step(ids, seen, label, batches):
+        import pyarrow as pa
+
+        for i, j, d in batches:
+            yield pa.RecordBatch.from_pydict({"i": i, "j": j, "d": d})
+
+    out = C._in_order(nodes, edges, ["d", "id", "j"], step, "i long, j long, d double")
+    assert [(r.i, r.j, r.d) for r in out.collect()] == sorted(rows, key=lambda r: (r[2], r[0], r[1]))
+    assert "edges" in out._jdf.queryExecution().executedPlan().toString()
