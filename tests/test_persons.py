@@ -237,3 +237,18 @@ def test_prototypes_are_packed_once(spark, monkeypatch):
     rows = spark.createDataFrame(drawn(5, 3), SCHEMA)
     assert persons.density_persons(rows, DIMS, rerank=True).count() == 20
     assert [x for x in names if x[1]] == [("blocks", True)]
+
+
+@pytest.mark.parametrize("gap", [None, 40.0])
+def test_penalties_are_added_where_vectors_meet(spark, gap):
+    from loomtrace.operators import similarity as S
+
+    rng = np.random.default_rng(7)
+    odd = lambda k, x: None if k % 5 == 0 else float(x)
+    rows = [(k, (v / np.linalg.norm(v)).tolist(), odd(k, rng.random()), odd(k + 1, 9 * rng.random()), odd(k + 2, 90 * rng.random())) for k, v in enumerate(rng.normal(size=(80, 4)))]
+    vecs = spark.createDataFrame(rows, "id long, v array<double>, ratio double, speed double, sec double")
+    want = persons._penalised(vecs.drop("v"), S.radius_join(vecs.select("id", "v"), 0.6), 0.05, 0.02, gap).where("d <= 0.6")
+    joined = S.penalised_join(vecs, 0.6, 0.05, 0.02, gap)
+    got = {(r.i, r.j): r.d for r in joined.collect()}
+    assert got == pytest.approx({(r.i, r.j): r.d for r in want.collect()}) and len(got) > 50
+    assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
