@@ -252,3 +252,39 @@ def test_penalties_are_added_where_vectors_meet(spark, gap):
     got = {(r.i, r.j): r.d for r in joined.collect()}
     assert got == pytest.approx({(r.i, r.j): r.d for r in want.collect()}) and len(got) > 50
     assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
+
+
+def test_forest_is_worked_out_by_many_tasks_and_noise_out_of_reach_is_passed_over(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(90, 6)) + 4 * np.eye(6)[rng.integers(0, 6, 90)]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    items = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "id long, v array<double>").repartition(12)
+    where = str(tmp_path)
+
+    def distance(a, b):
+        from pathlib import Path
+
+        from pyspark import TaskContext
+
+        Path(where, str(TaskContext.get().partitionId())).touch()
+        return np.clip(1 - a["v"] @ b["v"].T, 0, 2)
+
+    tree = persons.S.forest(items, distance, block_rows=9)
+    assert len(list(tmp_path.iterdir())) > 1
+    labels = spark.createDataFrame([(k, k % 4 if k % 3 == 0 else -1, 0.3) for k in range(90)], "id long, label int, probability double")
+    colours = spark.createDataFrame([(k, None) for k in range(90)], "id long, hist array<double>")
+    for gate in (0.02, 0.1, 0.7):
+        whole, some = (sorted(map(tuple, persons.C.reassign_near(items, persons.S.cosine, labels, colours, gate, tree=t).collect())) for t in (None, tree))
+        assert whole == some
+
+
+def test_prototypes_smooth_by_rank_as_tracklets_do(spark):
+    rng = np.random.default_rng(9)
+    rows = [(f"c{t % 2}", t, r + 1, rng.normal(size=4).tolist()) for t in range(9) for r in range(t + 1)]
+    rng.shuffle(rows)
+    frame = spark.createDataFrame([(c, int(t), int(r), v) for c, t, r, v in rows], "clip_id string, track_id long, rank int, v array<double>").repartition(3)
+    smoothed = persons.T.smooth(frame, 4, order=("rank",)).withColumn("v", F.col("smoothed"))
+    got, want = ({(r.clip_id, r.track_id): r.prototypes for r in rows.collect()} for rows in (persons.C.prototypes(frame, width=5), persons.C.prototypes(smoothed)))
+    assert got.keys() == want.keys() and len(got) == 9
+    for key, own in want.items():
+        assert np.allclose(got[key], own)
