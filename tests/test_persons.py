@@ -288,3 +288,22 @@ def test_prototypes_smooth_by_rank_as_tracklets_do(spark):
     assert got.keys() == want.keys() and len(got) == 9
     for key, own in want.items():
         assert np.allclose(got[key], own)
+
+
+def test_neighbours_closer_than_single_precision_and_sparse_common_sets(spark):
+    rng = np.random.default_rng(10)
+    x = np.repeat(rng.normal(size=(4, 8)), 15, axis=0) + rng.normal(0, 1e-6, (60, 8))  # neighbours differ by about 1e-12
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    frame = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "id long, v array<double>")
+    s = np.einsum("ik,jk->ij", x, x)
+    for k in (3, 20):
+        rows = persons.S.nearest(frame, k, block_rows=7).collect()
+        assert len(rows) == 60 * (k + 1)
+        for r in rows:
+            order = np.sort(np.where(np.arange(60) == r.i, np.inf, s[r.i]))[::-1]
+            assert r.low == pytest.approx(s[r.i].min(), abs=1e-15) and (r.rank == 0) == (r.i == r.j)
+            assert r.rank == 0 or abs(s[r.i, r.j] - order[r.rank]) < 1e-15
+    a = {"js": (np.array([2, 0, 1]), np.array([1, 5, 7])), "xs": (np.array([2, 0, 1]), np.array([0.2, 0.8, 1.0]))}
+    b = {"js": (np.array([1, 2]), np.array([9, 1, 5])), "xs": (np.array([1, 2]), np.array([1.0, 0.5, 0.5]))}
+    row, column, common = persons.S._common(a, b)
+    assert (row.tolist(), column.tolist()) == ([0], [1]) and common == pytest.approx([0.7])  # no matrix of zeros
